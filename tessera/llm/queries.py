@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, token_files
+from tessera.llm import packing, simhash, token_files
 from tessera.llm.scratch import Scratch
 
 
@@ -15,6 +15,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, Scratch(spark, "op1")).drop("ids")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = simhash.near_duplicates(docs, Scratch(spark, "op5"))
+    return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = Scratch(spark, "op10").path("tokens")
@@ -24,6 +30,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_simhash": op5_simhash,
     "op10_token_files": op10_token_files,
 }
 
