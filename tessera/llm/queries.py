@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, simhash, token_files
+from tessera.llm import licenses, packing, rules, simhash, token_files
 from tessera.llm.scratch import Scratch
+from tessera.session import ship
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return rules.assess(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = Scratch(spark, "op10").path("tokens")
@@ -31,6 +42,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_simhash": op5_simhash,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_license_scan": op9_license_scan,
     "op10_token_files": op10_token_files,
 }
 
