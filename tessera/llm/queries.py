@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licenses, packing, rules, simhash, token_files
+from tessera.llm import licenses, packing, quality, rules, simhash, token_files
 from tessera.llm.scratch import Scratch
 from tessera.session import ship
 
@@ -16,6 +16,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, Scratch(spark, "op1")).drop("ids")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = simhash.near_duplicates(docs, Scratch(spark, "op5"))
@@ -41,6 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op5_simhash": op5_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_license_scan": op9_license_scan,
