@@ -51,6 +51,7 @@ class Scratch:
         where = self.path(name)
         writer = df.write.option("compression", compression) if compression else df.write
         writer.parquet(where)
+        self.spark._jvm.System.gc()  # shuffle files of finished steps stay until the driver collects its garbage
         out = self.spark.read.schema(df.schema).parquet(where)
         out._tessera_path = where  # noqa: SLF001
         return out
