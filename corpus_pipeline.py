@@ -1,24 +1,82 @@
-"""Corpus pipeline: quality classifier, SimHash near-dedup, substring dedup, decontamination, packing."""
+"""From raw documents to packed sequences: five stages, each a function (spark, docs, sf_dir) -> DataFrame.
+
+Each stage gets all that its predecessor kept, written as Parquet and reread. The first four return documents
+with the columns they got; the last returns the packed pieces.
+
+1. quality_classifier: documents whose score is below 0.3 go. Labels are learned from rows that are not held out.
+2. simhash_near_dedup: one document of each group of near-duplicates stays, the one with the smallest doc_id.
+3. substring_dedup: words of repeated 35-word passages go; a document of which nothing is left goes.
+4. benchmark_decontamination: documents in which a benchmark item is found go.
+5. best_fit_packing: what is left is encoded and packed into sequences of 2048 ids.
+
+A document with null text counts as empty. sf_dir serves the tables labels and benchmark.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing
+from tessera.llm import decontaminate, packing, quality, simhash, substrings
 from tessera.llm.scratch import Scratch
 
+THRESHOLD = 0.3
+_open: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """A folder for one stage. Its predecessor's goes: what that stage returned has been written by now."""
+    while _open:
+        last = _open.pop()
+        if last.spark is spark:
+            last.drop()
+    _open.append(Scratch(spark, name))
+    return _open[-1]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch(spark, "quality")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).filter(F.col("score") >= THRESHOLD).select(docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.representatives(docs, _scratch(spark, "simhash"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(docs, _scratch(spark, "substrings")).filter(F.col("n_words") > F.col("n_removed"))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    untouched = F.col("n_removed") == 0  # their white space stays as it is
+    return found.select(*(F.when(untouched, F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in docs.columns))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.decontaminate(docs, benchmark, _scratch(spark, "decontaminate"))
+    return found.filter(F.size("matches") == 0).select(docs.columns)
+
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, Scratch(spark, "pipeline"))
+    return packing.pack(docs, _scratch(spark, "packing"))
+
 
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+#: Models and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "run")
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.forget(before)
     return docs

@@ -57,14 +57,15 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint as a signed long."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out)], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -141,7 +142,9 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 4, seed: int = 42, distance: int = 4, segments: int | None = None, crowded: int = 256) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: component_id is the smallest doc_id reachable.
+    """(doc_id, text_hash, fp, component, component_id) of each row: component_id is the smallest doc_id reachable.
+
+    component: the smallest fingerprint reachable.
 
     segments: 3 tables of 21 bits serve up to DENSE fingerprints, 2 of 32 bits more; any number finds all links.
     """
@@ -152,8 +155,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 4, seed: int
     label = components(links(distinct.select("fp"), scratch, distance, segments, crowded), scratch)
     owner = distinct.join(label, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     least = owner.groupBy("label").agg(F.min("low").alias("component_id"))
-    owner = owner.join(least, "label").select("fp", "component_id")
-    return marked.join(owner, "fp").select("doc_id", "fp", "component_id")
+    owner = owner.join(least, "label").select("fp", F.col("label").alias("component"), "component_id")
+    return marked.join(owner, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def representatives(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id; nulls come last.
+
+    Of rows with that doc_id the one with the smallest hash of its text stays, of equal rows any one.
+    """
+    found = near_duplicates(docs, scratch, **how)
+    order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("o")
+    chosen = found.groupBy("component").agg(order).select(F.col("o.doc_id").alias("__id"), F.col("o.text_hash").alias("__hash"))
+    rows = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__h": F.xxhash64("text")})
+    kept = rows.join(chosen, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_semi")
+    return kept.dropDuplicates(["__i", "__h"]).select(docs.columns)
 
 
 def hexadecimal(fp: Column) -> Column:
