@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, licenses, packing, quality, rules, simhash, substrings, token_files
+from tessera.llm import chat, decontaminate, licenses, packing, quality, rules, simhash, substrings, token_files, warc
 from tessera.llm.scratch import Scratch
 from tessera.session import ship
 
@@ -29,6 +29,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve(warc.capture_log(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = simhash.near_duplicates(docs, Scratch(spark, "op5"))
@@ -46,6 +50,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.assess(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op8")
+    talks = scratch.keep(chat.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "transcripts")
+    model = chat.train(talks.filter(~chat.held_out(F.col("conv_id"))))
+    found = chat.parse(talks, model)
+    roles = F.array_join("roles", ",").alias("given_roles")
+    return found.select("conv_id", "block", chat.held_out(F.col("conv_id")).alias("held_out"), "n_turns", "found_roles", roles, "rendered")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -62,11 +75,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_revisits": op4_revisits,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_license_scan": op9_license_scan,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_revisits": warc.SQL}
