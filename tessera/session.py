@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_tessera_shipped"
 
@@ -23,3 +24,26 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path("tessera") / p.relative_to(here))
     context.addPyFile(str(target))
     setattr(context, _SHIPPED, True)
+
+
+class Tables:
+    """Tables that cut lineage, in the shared folder of the session."""
+
+    def __init__(self, spark: SparkSession, name: str = "tables"):
+        ship(spark)
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+            spark.conf.set("spark.checkpoint.dir", base)
+        self.spark, self.root, self._n = spark, f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex[:12]}", 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written once and read back."""
+        self._n += 1
+        where = f"{self.root}/{self._n:03d}-{name}"
+        df.write.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
