@@ -451,3 +451,202 @@ def o18_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: findings of the two-edge pattern over contracted event graphs."""
     return m3_two_edge_pattern(spark, sf_dir)
+
+
+# --- syntax trees
+
+
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script of each page, as a file."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<script>(.*?)</script>", 1).alias("text"))
+
+
+_TYPES = "program variable_declaration variable_declarator identifier string string_fragment expression_statement call_expression identifier arguments number".split()
+_SCRIPT = "s AS (SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1) AS t, regexp_extract(html, 'track\\(([0-9]+)\\)', 1) AS n FROM pages)"
+_TEXTS = """[t, 'var t="</p>";', 't="</p>"', 't', '"</p>"', '</p>', 'track(' || n || ');', 'track(' || n || ')', 'track', '(' || n || ')', n]"""
+
+
+@query("a1_parse_scripts", f"WITH {_SCRIPT} SELECT page_id, CAST(i AS BIGINT) AS pre, {_TYPES!r}[i + 1] AS type, {_TEXTS}[i + 1] AS text FROM (SELECT page_id, t, n, unnest(range(0, 11)) AS i FROM s)")
+def a1_parse_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import ast
+
+    return ast.parse_js(_scripts(spark, sf_dir), ["page_id"]).select("page_id", "pre", "type", "text")
+
+
+@query("a4_a5_calls_on_names", f"WITH {_SCRIPT} SELECT page_id, 'track' AS f_text, n AS n_text FROM s")
+def a4_a5_calls_on_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import ast
+
+    tree = ast.parse_js(_scripts(spark, sf_dir), ["page_id"])
+    call = ast.Shape("call_expression", [ast.Shape("identifier", field="function", capture="f"), ast.Shape("arguments", [ast.Shape("number", capture="n")])])
+    return ast.first_capture(ast.query(tree, ["page_id"], call), ["page_id"], "f").select("page_id", "f_text", "n_text")
+
+
+@query("a10_statement_at", "SELECT page_id, 0 AS statement_row, 13 AS statement_col FROM pages")
+def a10_statement_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import ast
+
+    tree = ast.parse_js(_scripts(spark, sf_dir), ["page_id"])
+    at = tree.filter("type = 'number'").select("page_id", F.col("start_row").alias("row"), F.col("start_col").alias("col"))
+    return ast.statement_at(tree, ["page_id"], at).select("page_id", "statement_row", "statement_col")
+
+
+@query("a11_top_statements", "SELECT page_id, CAST(6 AS BIGINT) AS node_id FROM pages")
+def a11_top_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import ast
+
+    return ast.top_statements(ast.parse_js(_scripts(spark, sf_dir), ["page_id"]), ["page_id"])
+
+
+@query("a14_o1_unit_codes", "SELECT page_id, '30,1,1,6,15,15,17,11,6,18,23' AS codes FROM pages")
+def a14_o1_unit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import ast
+
+    types = ast.unit_types(ast.parse_js(_scripts(spark, sf_dir), ["page_id"]), ["page_id"])
+    return types.select("page_id", F.array_join(F.transform(features.unit_codes(F.col("types")), lambda c: c.cast("string")), ",").alias("codes"))
+
+
+@query("a15_post_order", f"SELECT page_id, {','.join(_TYPES[i] for i in (3, 5, 4, 2, 1, 8, 10, 9, 7, 6, 0))!r} AS types FROM pages")
+def a15_post_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import ast
+
+    return ast.unit_types(ast.parse_js(_scripts(spark, sf_dir), ["page_id"]), ["page_id"], "post").select("page_id", F.array_join("types", ",").alias("types"))
+
+
+@query("o10_lexical_vectors", f"""WITH {_SCRIPT} SELECT page_id, array_to_string([CAST(x AS VARCHAR) FOR x IN [1.0, 0.5, 1.0, 0.0, 1.161, 0.0, 0.0, 4.0, CAST(len(regexp_extract_all(n, '0[0-7]+')) AS DOUBLE), 1.0, 0.0]], ' ') AS lexical FROM s""")
+def o10_lexical_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import ast
+
+    rows = ast.lexical(ast.source_parts(_scripts(spark, sf_dir), ["page_id"]), ["page_id"])
+    return rows.select("page_id", F.array_join(F.transform("lexical", lambda x: F.round(x, 3).cast("string")), " ").alias("lexical"))
+
+
+def source_cases(name: str, make: Callable[[DataFrame], DataFrame], pairs: list[tuple[str, object]]) -> None:
+    """As cases(), for functions of whole source files: make takes (event_id, text) and gives (event_id, answer)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = F.array(*(F.lit(a) for a, _ in pairs))
+        return make(table(spark, sf_dir, "events").select("event_id", F.get(texts, (F.col("event_id") % len(pairs)).cast("int")).alias("text")))
+
+    answers = ", ".join(_sql(b) for _, b in pairs)
+    query(name, f"SELECT event_id, [{answers}][CAST(event_id % {len(pairs)} AS INTEGER) + 1] AS answer FROM events")(run)
+
+
+def _rewritten(df: DataFrame) -> DataFrame:
+    from tessera.operators import ast
+
+    return ast.rewrite(df, ["event_id"]).withColumnRenamed("text", "answer")
+
+
+def _defined(df: DataFrame) -> DataFrame:
+    from tessera.operators import ast
+
+    files = df.select(F.col("event_id").alias("package"), F.lit("a.js").alias("path"), "text")
+    found = ast.functions(files).groupBy(F.col("package").alias("event_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit(":"), "comment"))), "|").alias("answer"))
+    return df.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+def _argued(df: DataFrame) -> DataFrame:
+    from tessera.operators import ast
+
+    calls = df.select(F.lit(1).alias("package"), F.col("event_id").alias("node"), "text", F.lit(1).alias("line"), F.lit(0).alias("col"))
+    log = df.filter("event_id % 2 = 0").select(F.lit(1).alias("package"), F.col("event_id").alias("node"), F.create_map(F.lit("#1"), F.lit("one")).alias("value"))
+    return ast.argument_strings(calls, log).select(F.col("node").alias("event_id"), F.col("value").alias("answer"))
+
+
+source_cases("t0_rewrite", _rewritten, [
+    ("const {a, b: c} = require('node:m');", "const a = require('m').a, c = require('m').b;"), ("async function f() { await g(await h()) }", "async function f() {\n    g(h())\n}"), ("xs.forEach(f); ys.forEach(g)", "xs.forEach((xs_) => f(xs_));\nys.forEach(g)"),
+    ("f(process.env)", "f(process.env())"), ("", ""), ("if(", "if("), ("var x = 1", "var x = 1"),
+])
+source_cases("k1_functions", _defined, [
+    ("// adds\nfunction add(a) { return a }\nconst g = () => 1", "add:adds|g:"), ("exports.h = function () {}; function h() {}", "h:"), ("var x = 1", ""), ("/* one */ /* two */\nfunction* k() {}", "k:one */\n/* two */"), ("", ""),
+])
+source_cases("d1_argument_strings", _argued, [("f('a', 'b')", "'a''b'"), ("f()", ""), ("x", ""), ("f('a', () => 1)", "'a'"), ("require('m').f('z')", "'z'"), ("f(y)", ""), ("f(y, 'b')", "one'b'"), ("new a.B(\"c\")", '"c"')])
+
+# --- whole packages
+
+_CPG = """digraph "cpg" {
+1 [label="METHOD" NAME=":program" FULL_NAME="package/index.js::program" FILENAME="package/index.js" CODE=":program"]
+2 [label="METHOD" NAME="send" FULL_NAME="package/index.js::program:send" FILENAME="package/index.js" CODE="function send(x) { http.request(x) }"]
+10 [label="CALL" NAME="<operator>.assignment" CODE="fs = require('fs')" LINE_NUMBER="1"]
+11 [label="IDENTIFIER" NAME="fs" CODE="fs" ORDER="1" LINE_NUMBER="1"]
+12 [label="CALL" NAME="require" CODE="require('fs')" ORDER="2" LINE_NUMBER="1"]
+20 [label="CALL" NAME="<operator>.assignment" CODE="d = fs.readFileSync('/etc/passwd')" LINE_NUMBER="2"]
+21 [label="IDENTIFIER" NAME="d" CODE="d" ORDER="1" LINE_NUMBER="2"]
+22 [label="CALL" NAME="readFileSync" CODE="fs.readFileSync('/etc/passwd')" ORDER="2" LINE_NUMBER="2"]
+30 [label="CALL" NAME="send" CODE="send(d)" LINE_NUMBER="3"]
+31 [label="IDENTIFIER" CODE="d" NAME="d" ARGUMENT_INDEX="1" LINE_NUMBER="3"]
+40 [label="METHOD_PARAMETER_IN" NAME="x" CODE="x" LINE_NUMBER="4"]
+50 [label="CALL" NAME="request" CODE="http.request(x)" LINE_NUMBER="5"]
+51 [label="IDENTIFIER" CODE="x" NAME="x" ARGUMENT_INDEX="1" LINE_NUMBER="5"]
+10 -> 11 [label="AST"]
+10 -> 12 [label="AST"]
+20 -> 21 [label="AST"]
+20 -> 22 [label="AST"]
+30 -> 31 [label="ARGUMENT"]
+50 -> 51 [label="ARGUMENT"]
+}"""
+_PDGS = {
+    "1-pdg.dot": 'digraph {\n1 [label="METHOD" NODE_TYPE="METHOD" NAME=":program" FULL_NAME="package/index.js::program" FILENAME="package/index.js"]\n10 [NODE_TYPE="CALL" NAME="<operator>.assignment" LINE_NUMBER="1"]\n22 [NODE_TYPE="CALL" NAME="readFileSync" LINE_NUMBER="2"]\n20 [NODE_TYPE="CALL" NAME="<operator>.assignment" LINE_NUMBER="2"]\n30 [NODE_TYPE="CALL" NAME="send" LINE_NUMBER="3"]\n1 -> 10 [label="CFG"]\n10 -> 22 [label="CFG"]\n10 -> 22 [label="DDG: fs"]\n22 -> 20 [label="CFG"]\n20 -> 30 [label="CFG"]\n20 -> 30 [label="DDG: d"]\n}',
+    "2-pdg.dot": 'digraph {\n2 [label="METHOD" NODE_TYPE="METHOD" NAME="send" FULL_NAME="package/index.js::program:send" FILENAME="package/index.js"]\n40 [NODE_TYPE="METHOD_PARAMETER_IN" NAME="x" LINE_NUMBER="4"]\n50 [NODE_TYPE="CALL" NAME="request" LINE_NUMBER="5"]\n2 -> 40 [label="DDG"]\n2 -> 50 [label="CFG"]\n40 -> 50 [label="DDG: x"]\n}',
+}
+
+
+def _behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user as a package that reads a file and sends it."""
+    from tessera.operators import behaviour
+    from tessera.sources import dot
+
+    packages = table(spark, sf_dir, "events").select(F.col("user_id").alias("package")).distinct()
+    nodes, edges = dot.cpg_tables(dot.parse_dot(packages.select("package", F.lit(_CPG).alias("text")), ["package"]))
+    pdgs = F.explode(F.create_map(*(F.lit(x) for pair in _PDGS.items() for x in pair)))
+    parsed = dot.parse_dot(packages.select("package", pdgs.alias("file", "text")), ["package", "file"])
+    methods = dot.usable_methods(dot.methods(parsed, nodes))
+    pdg_nodes = dot.pdg_nodes(parsed, nodes, methods)
+    pdg_edges = parsed.filter("is_edge").join(methods.select("package", "file", "method_id"), ["package", "file"]).select("package", "method_id", F.col("head").cast("long").alias("src"), F.col("tail").cast("long").alias("dst"), F.col("attr")["label"].alias("label"), "seq")
+    base = spark.createDataFrame([("npm", "builtin", 1, "fs", "readFileSync", "12"), ("npm", "builtin", 2, "http", "request", "20"), ("npm", "builtin", 3, "os", "x", "4")], "eco string, kind string, id long, package string, name string, category string")
+    files = packages.select("package", F.lit("package/index.js").alias("path"))
+    manifests = packages.select("package", F.lit("index.js").alias("main"), F.array().cast("array<string>").alias("files"))
+    return behaviour.behaviour(nodes, edges, methods, pdg_nodes, pdg_edges, files, manifests, base)
+
+
+_USERS = "u AS (SELECT DISTINCT user_id AS package FROM events)"
+
+
+@query("s1_dot_scan", f"""WITH {_USERS}, x AS (SELECT unnest([10, 10, 20, 20, 30, 50]) AS src, unnest([11, 12, 21, 22, 31, 51]) AS dst, unnest(['AST', 'AST', 'AST', 'AST', 'ARGUMENT', 'ARGUMENT']) AS labels) SELECT package, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, labels FROM u, x""")
+def s1_dot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.sources import dot
+
+    packages = table(spark, sf_dir, "events").select(F.col("user_id").alias("package")).distinct()
+    _, edges = dot.cpg_tables(dot.parse_dot(packages.select("package", F.lit(_CPG).alias("text")), ["package"]))
+    return edges.select("package", "src", "dst", F.array_join("attrs", ",").alias("labels"))
+
+
+@query("b2_behaviour_graphs", f"""WITH {_USERS}, x AS (SELECT unnest([1, 10, 22, 20, 30, 2, 2, 40]) AS src, unnest([10, 22, 20, 30, 2, 50, 40, 50]) AS dst, unnest(['CFG', 'CFG,DDG: fs', 'DDG', 'CFG,DDG: d', 'DDG', 'CFG', 'DDG', 'DDG: x']) AS labels) SELECT package, 'IMPORT' AS phase, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, labels FROM u, x""")
+def b2_behaviour_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import behaviour
+
+    _, edges = behaviour.described(_behaviour(spark, sf_dir))
+    return edges.select("package", "phase", "src", "dst", F.array_join("attrs", ",").alias("labels"))
+
+
+@query("n21_classified_calls", f"WITH {_USERS} SELECT package, CAST(unnest([22, 50]) AS BIGINT) AS node, unnest(['12', '20']) AS categories FROM u")
+def n21_classified_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import behaviour
+
+    nodes, _ = behaviour.described(_behaviour(spark, sf_dir))
+    return nodes.filter("categories IS NOT NULL").select("package", "node", F.array_join("categories", "-").alias("categories"))
+
+
+@query("r5_package_findings", f"""WITH {_USERS} SELECT package, 'IMPORT' AS phase, 'Theft' AS description, 'read local file - send through HTTP request' AS pattern_desc, 'package/index.js:2,package/index.js:5' AS places FROM u WHERE package % 3 = 0""")
+def r5_package_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans import analysis
+
+    tables = Tables(spark, "findings")
+    rows = tables.keep(_behaviour(spark, sf_dir), "behaviour")
+    packages = table(spark, sf_dir, "events").select(F.col("user_id").alias("package")).distinct()
+    arguments = packages.select("package", F.lit(22).cast("long").alias("node"), F.when(F.col("package") % 3 == 0, "/etc/passwd").when(F.col("package") % 3 == 1, "").otherwise("a.txt").alias("value"))
+    verdicts = spark.createDataFrame([("read", "/etc/passwd", True), ("read", "a.txt", False)], "judge string, input string, malicious boolean")
+    rule = match.Pattern("p", "Theft", "read local file - send through HTTP request", [("read data from a file", "DDG", "make HTTP request")])
+    found = analysis.findings(rows, [rule], arguments, verdicts, tables)
+    return found.select("package", "phase", "description", "pattern_desc", F.array_join(F.transform("places", lambda p: F.concat(p["file"], F.lit(":"), p["line"].cast("string"))), ",").alias("places"))
