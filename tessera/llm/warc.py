@@ -62,7 +62,10 @@ def resolve(records: DataFrame, slices: int = 64) -> DataFrame:
     pointed = own.join(handed, ["u", "slice"], "left").select("record_id", F.when(F.col("time").isNotNull(), F.coalesce("own", "handed"))["record_id"].alias("response_id"))
     revisits = log.filter(F.col("kind") == "revisit").join(pointed.dropDuplicates(["record_id"]), "record_id", "left")
     stored = log.filter(F.col("kind") == "response").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload_digest").alias("stored_digest")).dropDuplicates(["response_id"])
-    both = revisits.join(stored, "response_id", "left")
+    # a revisit without a response has a join key of its own, so they don't meet in one task
+    own_key = F.struct(F.col("response_id").isNull().alias("none"), F.coalesce("response_id", "record_id").alias("id"))
+    its_key = F.struct(F.lit(False).alias("none"), F.col("response_id").alias("id"))
+    both = revisits.withColumn("key", own_key).join(stored.select(its_key.alias("key"), "stored", "stored_digest"), "key", "left")
     etag, modified = F.col("headers")["etag"], F.col("headers")["last-modified"]
     agrees = (
         F.when(etag.isNotNull(), _tag(etag) == _tag(F.col("stored")["etag"]))
