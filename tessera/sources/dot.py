@@ -147,8 +147,7 @@ def pdg_nodes(parsed: DataFrame, cpg_nodes: DataFrame, method_table: DataFrame)
 
 def package_files(spark: SparkSession, root: str, pattern: str = "*.js", recursive: bool = True) -> DataFrame:
     """(package, path, text, lines) of the files below root/<package>/; lines are stripped."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    rows = read.text(root if recursive else f"{root}/*").select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
+    rows = spark.read.text(root if recursive else f"{root}/*", wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
     inside = F.regexp_replace(F.url_decode(F.replace("p", F.lit("+"), F.lit("%2B"))), rf"^.*?{re.escape(root.rstrip('/').split(':', 1)[-1].lstrip('/'))}/", "")
     rows = rows.select(F.regexp_extract(inside, "^([^/]+)/", 1).alias("package"), F.regexp_replace(inside, "^[^/]+/", "").alias("path"), "text")
     return rows.withColumn("lines", F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
