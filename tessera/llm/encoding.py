@@ -21,8 +21,8 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _PIECES = re.compile(f" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A space that is followed by a character other than white space begins a token, whatever stands before.
 _CUT = re.compile(r"(?= \S)")
-#: Pieces that the cache holds, and characters of the longest piece that it keeps.
-CACHE, LONGEST = 900_000, 48
+#: Pieces in each of the cache's two generations, and characters of the longest piece that it keeps.
+CACHE, LONGEST = 250_000, 48
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -40,12 +40,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def pieces(text: str) -> list[str]:
+def pieces(text: str) -> tuple[list[str], bool]:
+    """The pieces of a text, and whether each is one piece of the tokenizer's own pattern."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return _CUT.split(text)
-    return _PIECES.findall(text)
+        return _CUT.split(text), False
+    return _PIECES.findall(text), True
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
 class Encoder:
@@ -55,22 +63,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the generation before: what is used again moves on, the rest goes
+
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def _one(self, piece: str) -> bytes:
+        """Ids of one piece of the pattern, by the merges of the library's model alone."""
+        letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is an empty text."""
-        cut = [pieces(t) if t else [] for t in texts]
-        missing: set[str] = set()
-        for p in cut:
-            missing.update(p)
+        cut, single, mixed = [], set(), set()
+        for t in texts:
+            p, one = pieces(t) if t else ([], True)
+            cut.append(p)
+            (single if one else mixed).update(p)
         if len(self.known) > CACHE:
-            self.known.clear()
-        missing -= self.known.keys()
-        fresh = list(missing)
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(fresh, coded, strict=True))
-        get = self.known.__getitem__
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        missing = (single | mixed) - known.keys()
+        again = missing & before.keys()
+        known.update((c, before[c]) for c in again)
+        missing -= again
+        whole = list(missing & mixed)
+        known.update((c, array("I", e.ids).tobytes()) for c, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True))
+        fresh = missing - mixed
+        known.update((c, self._one(c)) for c in fresh)
+        get = known.__getitem__
         out = [b"".join(map(get, p)) for p in cut]
-        for c in fresh:
+        for c in missing:
             if len(c) > LONGEST:
-                del self.known[c]
+                del known[c]
         return out
