@@ -32,15 +32,15 @@ MARKERS = {
     "assistant": ("assistant", "ai", "bot", "a", "answer", "agent"),
 }
 _KIND = {m: role for role, names in MARKERS.items() for m in names}
-_MARKER = re.compile(r"\s*(?:#{1,4}\s*|\[|<\|?|\*\*)?([A-Za-z]{1,12})(?:\|?>|\]|\*\*)?\s*(?:[:>\-]|$)\s*")
+_MARKER = re.compile(r"\s*(?:#{1,4}\s*|\[|<\|?|\*\*)?([A-Za-z]{1,12})(?:\|?>|\]|\*\*)?\s*([:>\-]|$)\s*")
 STATES = [(role, first) for role in ROLES for first in (True, False)]
 
 
 def read_line(line: str, after_blank: bool) -> tuple[str, str, str, str]:
     """Marker kind, blank line before, shape; and the line without its marker."""
     m = _MARKER.match(line)
-    kind = _KIND.get(m[1].lower(), "other") if m else "none"
-    rest = line[m.end() :] if m and kind != "other" else line
+    kind = _KIND.get(m[1].lower(), "other" if m[2] else "none") if m else "none"  # a bare word marks a known speaker only
+    rest = line[m.end() :] if m and kind in ROLES else line
     size = len(rest)
     shape = ("short" if size < 40 else "medium" if size < 200 else "long") + ("?" if rest.rstrip().endswith("?") else "")
     return kind, "blank" if after_blank else "tight", shape, rest
@@ -85,7 +85,7 @@ class Model:
                     prior = 0.1
                     if kind == "marker":  # what the markers say, as a few pseudo-counts
                         own = f"marker:{role}" if first else "marker:none"
-                        prior = 4.0 if o == own else 0.02 if o.split(":")[1] in ROLES else 0.5
+                        prior = 4.0 if o == own else 1e-6 if o.split(":")[1] in ROLES else 0.5
                     out.see[i, o] = math.log((counts.get(("see", str(i), o), 0) + prior) / (hits + 1 + len(names)))
         return out
 

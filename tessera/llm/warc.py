@@ -54,12 +54,12 @@ def resolve(records: DataFrame, slices: int = 64) -> DataFrame:
     log = records.select("record_id", "time", "kind", "headers", "payload_digest", url.alias("u"))
     cuts = sorted(set(log.agg(F.percentile_approx("time", [k / slices for k in range(1, slices)], 1000).alias("c")).first()["c"] or []))
     slim = log.select("record_id", "time", "kind", "u", F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col("time"))).alias("slice")) if cuts else log.select("record_id", "time", "kind", "u", F.lit(0).alias("slice"))
-    full = F.when(F.col("kind") == "response", F.struct("time", "record_id"))
+    full = F.when((F.col("kind") == "response") & F.col("time").isNotNull(), F.struct("time", "record_id"))
     groups = slim.groupBy("u", "slice").agg(F.max(full).alias("last"), F.max(F.col("kind") == "revisit").alias("asks"))
     handed = groups.select("u", "slice", "asks", F.max("last").over(Window.partitionBy("u").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("handed")).filter("asks").select("u", "slice", "handed")
     earlier = Window.partitionBy("u", "slice").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
     own = slim.withColumn("own", F.max(full).over(earlier)).filter(F.col("kind") == "revisit")
-    pointed = own.join(handed, ["u", "slice"], "left").select("record_id", F.when(F.col("time").isNotNull(), F.coalesce("own", "handed"))["record_id"].alias("response_id"))
+    pointed = own.join(handed, ["u", "slice"], "left").select("record_id", F.when(F.col("time").isNotNull() & F.col("u").isNotNull(), F.coalesce("own", "handed"))["record_id"].alias("response_id"))
     revisits = log.filter(F.col("kind") == "revisit").join(pointed.dropDuplicates(["record_id"]), "record_id", "left")
     stored = log.filter(F.col("kind") == "response").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload_digest").alias("stored_digest")).dropDuplicates(["response_id"])
     # a revisit without a response has a join key of its own, so they don't meet in one task
