@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.llm.worker import lean, trim
 
 PASSAGE, BUCKETS = 64, 256
 _CLASSES = [range(0x41, 0x5B), range(0x30, 0x3A), b"#*$%&<>", b"|", b"!", b".,;:?", b"\n", range(0x80, 0x100)]
@@ -83,7 +84,7 @@ class Model:
     deviation: np.ndarray
 
     def inputs(self, bag: np.ndarray, style: np.ndarray) -> np.ndarray:
-        return np.concatenate([bag, np.clip((style - self.mean) / self.deviation, -6, 6)], axis=1).astype(np.float32)
+        return np.concatenate([bag.astype(np.float32), np.clip((style - self.mean) / self.deviation, -6, 6)], axis=1).astype(np.float32)
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         """Everything that the backward pass needs; p: scores of the documents."""
@@ -128,7 +129,7 @@ def fit(bag: np.ndarray, style: np.ndarray, first: np.ndarray, labels: np.ndarra
     if not len(labels):
         return model
     model.mean, model.deviation = style.mean(axis=0), style.std(axis=0) + 1e-3
-    x, rng = model.inputs(bag, style), np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     step = 0
     for _ in range(rounds):
@@ -139,7 +140,7 @@ def fit(bag: np.ndarray, style: np.ndarray, first: np.ndarray, labels: np.ndarra
             ends = np.concatenate([[0], np.cumsum(lengths)])
             rows = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths) + np.repeat(first[chosen], lengths)
             step += 1
-            for k, g in model.gradients(x[rows], ends, labels[chosen]).items():
+            for k, g in model.gradients(model.inputs(bag[rows], style[rows]), ends, labels[chosen]).items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g**2 - v)
@@ -156,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     rows = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most `most` rows are broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             data, offsets = W.buffers(b.column("text"))
             for lo, hi in W.runs(offsets):
@@ -163,11 +165,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                 raw = [(bag[a:b].astype(np.float16).tobytes(), style[a:b].tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("y").slice(lo, hi - lo), *(pa.array(v, pa.binary()) for v in zip(*raw, strict=True))], ["doc_id", "y", "bag", "style"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, y int, bag binary, style binary").collect(), key=lambda r: r["doc_id"])
-    bag = np.frombuffer(b"".join(r["bag"] for r in got), np.float16).reshape(-1, BUCKETS)
-    style = np.frombuffer(b"".join(r["style"] for r in got), np.float32).reshape(-1, STYLE)
+    got = sorted(rows.mapInArrow(run, "doc_id long, y int, bag binary, style binary").collect(), key=lambda r: r["doc_id"])  # `most` rows
     first = np.concatenate([[0], np.cumsum([len(r["style"]) // (4 * STYLE) for r in got])]).astype(np.int64)
-    return fit(bag.astype(np.float32), style, first, np.array([r["y"] for r in got], np.float32), **how)
+    bag, style = np.empty((first[-1], BUCKETS), np.float16), np.empty((first[-1], STYLE), np.float32)
+    for r, lo, hi in zip(got, first[:-1], first[1:], strict=True):
+        bag[lo:hi] = np.frombuffer(r["bag"], np.float16).reshape(-1, BUCKETS)
+        style[lo:hi] = np.frombuffer(r["style"], np.float32).reshape(-1, STYLE)
+    y = np.array([r["y"] for r in got], np.float32)
+    del got
+    model = fit(bag, style, first, y, **how)
+    del bag, style
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -176,6 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.select(columns).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             data, offsets = W.buffers(b.column("text"))
             out = [model.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in W.runs(offsets)]

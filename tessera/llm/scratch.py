@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.session import ship
 
 KEY = "spark.checkpoint.dir"
+#: Rows of an Arrow batch. Spark's own default suits numbers; so many texts fill memory on both sides of the pipe.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and use smaller Arrow batches where the session has Spark's default."""
+    ship(spark)
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +38,7 @@ class Scratch:
     """A private folder below the shared one. drop() removes it; so does the end of the session."""
 
     def __init__(self, spark: SparkSession, name: str = "scratch"):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
         fs, path = self._fs(self.root)

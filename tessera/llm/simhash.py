@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch
+from tessera.llm.worker import lean
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -60,6 +61,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, text_hash, fp): fp is the fingerprint as a signed long."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in rows:
             out = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out)], ["doc_id", "text_hash", "fp"])

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import words as W
 from tessera.llm.scratch import Scratch
+from tessera.llm.worker import lean
 
 RUNS = "k1 long, k2 long, anchor long, content long, start int, n int"
 #: Symbols of a shard, about.
@@ -88,6 +89,7 @@ def runs(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """All runs of keyed documents, see RUNS."""
 
     def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in rows:
             k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             data, offsets = W.buffers(b.column("text"))
@@ -104,6 +106,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, size: int, shards: int) -> Dat
     joined = docs.select("k1", "k2", "text").join(per, ["k1", "k2"]).select("text", "wanted")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         names = ("anchor", "content", "at", "copies", "words", "spread")
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
         for b in rows:
@@ -132,6 +135,7 @@ def _search(segments: DataFrame, size: int) -> DataFrame:
     """(anchor, content, mask): bit i of mask says that window i of the run is repeated."""
 
     def find(table: pa.Table) -> pa.Table:
+        lean()
         from tessera.llm.fm_index import repeated
 
         rows = {(a, c, i): (n, w) for a, c, i, n, w in zip(*(table.column(k).to_pylist() for k in ("anchor", "content", "at", "copies", "words")), strict=True)}
@@ -154,6 +158,7 @@ def _cut(docs: DataFrame, size: int) -> DataFrame:
     schema = docs.select(columns).schema.add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType())
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in rows:
             total, removed, kept = [], [], []
             for text, found in zip(b.column("text"), b.column("found"), strict=True):

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 #: Texts of one call; a batch is cut into runs of about this many bytes.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
