@@ -526,7 +526,8 @@ def source_cases(name: str, make: Callable[[DataFrame], DataFrame], pairs: list[
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         texts = F.array(*(F.lit(a) for a, _ in pairs))
-        return make(table(spark, sf_dir, "events").select("event_id", F.get(texts, (F.col("event_id") % len(pairs)).cast("int")).alias("text")))
+        rows = table(spark, sf_dir, "events").select("event_id", F.get(texts, (F.col("event_id") % len(pairs)).cast("int")).alias("text"))
+        return make(rows.repartition(spark.sparkContext.defaultParallelism, "event_id"))  # parsing outweighs the shuffle of short rows
 
     answers = ", ".join(_sql(b) for _, b in pairs)
     query(name, f"SELECT event_id, [{answers}][CAST(event_id % {len(pairs)} AS INTEGER) + 1] AS answer FROM events")(run)
