@@ -103,6 +103,22 @@ def test_decontamination_recall(spark, scratch):
     assert len(want & got) / len(want) >= 0.9 and len(got - want) <= 0.02 * len(docs)
 
 
+def test_decontamination_of_many_items(spark, scratch):
+    rng = random.Random(3)
+    texts = [t.split() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    words = [w for t in texts for w in t]
+    items = [(n, " ".join(rng.choice(words) for _ in range(rng.choice([15, 18, 25])))) for n in range(4000)]
+    rows = []
+    for n, t in items[:900]:
+        around = texts[n % len(texts)]
+        at = rng.randrange(len(around))
+        rows.append((n, " ".join([*around[:at], t, *around[at:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), scratch).collect()
+    lost = [r["doc_id"] for r in found if r["doc_id"] not in {m["item_id"] for m in r["matches"] if m["lcs"] == 1}]
+    assert lost == []  # whatever their cosine
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_decontamination_of_awkward_rows(spark, docs_of, awkward, scratch, block):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta. iota kappa", None), (2, None, None), (3, "short", None), (1, "alpha beta gamma delta epsilon zeta eta theta. iota kappa", None), (4, "one two three four five six seven eight", "nine ten")], "item_id long, text string, answer string")
