@@ -5,6 +5,7 @@ with the columns they got; the last returns the packed pieces.
 
 1. quality_classifier: documents whose score is below 0.3 go. Labels are learned from rows that are not held out.
 2. simhash_near_dedup: one document of each group of near-duplicates stays, the one with the smallest doc_id.
+   Near are fingerprints within four bits, and texts whose five-word shingles have Jaccard similarity 0.8 or more.
 3. substring_dedup: words of repeated 35-word passages go; a document of which nothing is left goes.
 4. benchmark_decontamination: documents in which a benchmark item is found go.
 5. best_fit_packing: what is left is encoded and packed into sequences of 2048 ids.
@@ -21,6 +22,7 @@ from tessera.llm import decontaminate, packing, quality, simhash, substrings
 from tessera.llm.scratch import Scratch
 
 THRESHOLD = 0.3
+SIMILARITY = 0.8
 _open: list[Scratch] = []
 
 
@@ -41,7 +43,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs, _scratch(spark, "simhash"))
+    return simhash.representatives(docs, _scratch(spark, "simhash"), similarity=SIMILARITY)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

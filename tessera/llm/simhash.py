@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import similar
 from tessera.llm.scratch import Scratch
 from tessera.llm.worker import lean
 
@@ -161,12 +162,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 4, seed: int
     return marked.join(owner, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
-def representatives(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
+def representatives(docs: DataFrame, scratch: Scratch, similarity: float | None = None, **how) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; nulls come last.
 
     Of rows with that doc_id the one with the smallest hash of its text stays, of equal rows any one.
+    With `similarity`, texts whose five-word shingles are so similar are near-duplicates too, whatever their fingerprints.
     """
     found = near_duplicates(docs, scratch, **how)
+    if similarity is not None:
+        found = scratch.keep(found.select("doc_id", "text_hash", "component"), "components")
+        label = components(similar.links(docs, found, scratch, similarity), scratch)
+        found = found.join(label, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("label", "component"))
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("o")
     chosen = found.groupBy("component").agg(order).select(F.col("o.doc_id").alias("__id"), F.col("o.text_hash").alias("__hash"))
     rows = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__h": F.xxhash64("text")})

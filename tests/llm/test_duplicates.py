@@ -142,3 +142,44 @@ def test_words_are_those_of_the_pattern():
         assert same.setdefault(x, k) == k
     assert len(set(same.values())) == len(same)
     assert hashlib  # the query's digest is Spark's own
+
+
+def test_near_duplicates_by_similarity(spark, scratch):
+    rng = random.Random(4)
+    rows = []
+    for n in range(80):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([20, 60, 200, 400]))]
+        rows.append(words)
+        for _ in range(rng.randrange(3)):  # near copies of all similarities
+            copy = list(words)
+            for _ in range(rng.choice([1, 1, 2, 4, 8])):
+                copy[rng.randrange(len(copy))] = "changed"
+            rows.append(copy)
+    rows += [["Few", "words"], ["few", "words"], ["few", "other", "words"]]
+    texts = [" ".join(r) for r in rows]
+    sets = [{tuple(x.lower().split()[i : i + 5]) for i in range(max(1, len(x.split()) - 4))} for x in texts]
+    prints = [simhash.fingerprint(t) for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 4
+    want = {min(g) for g in components_of(len(texts), near)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = simhash.representatives(docs, scratch, similarity=0.8)
+    assert {r["doc_id"] for r in got.collect()} == want
+    assert simhash.representatives(docs.limit(0), scratch, similarity=0.8).count() == 0
+
+
+def components_of(n, near):
+    found = []
+    for i in range(n):
+        joined = [g for g in found if any(near(i, j) for j in g)]
+        found = [g for g in found if g not in joined] + [{i}.union(*joined)]
+    return found
+
+
+def test_pipeline_drops_similar_documents(spark):
+    import corpus_pipeline
+
+    text = [f"w{i}" for i in range(200)]
+    copy = [*text[:50], "one", *text[51:120], "two", *text[121:]]  # similarity 186 of 206
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(copy)), (3, " ".join(text[100:] + copy[:50]))], "doc_id long, text string")
+    assert (simhash.fingerprint(" ".join(text)) ^ simhash.fingerprint(" ".join(copy))).bit_count() > 4
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()} == {1, 3}
