@@ -119,6 +119,13 @@ def test_decontamination_of_many_items(spark, scratch):
     assert lost == []  # whatever their cosine
 
 
+def test_decontamination_without_the_last_sentence(spark, docs_of, scratch):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa."
+    items = spark.createDataFrame([(1, f"{text} Lambda.", None), (2, f"{text} Lambda.", "Lambda")], "item_id long, text string, answer string")
+    got = decontaminate.decontaminate(docs_of([(1, f"so {text}"), (2, f"so {text} Lambda")]), items, scratch).collect()
+    assert {r["doc_id"]: {m["item_id"] for m in r["matches"]} for r in got} == {1: {1}, 2: {1, 2}}
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_decontamination_of_awkward_rows(spark, docs_of, awkward, scratch, block):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta. iota kappa", None), (2, None, None), (3, "short", None), (1, "alpha beta gamma delta epsilon zeta eta theta. iota kappa", None), (4, "one two three four five six seven eight", "nine ten")], "item_id long, text string, answer string")
