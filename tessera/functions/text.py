@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # Properties that are read like calls.
 PROCESS_PROPERTIES = ("arch", "platform", "version", "env", "config", "pid", "release", "versions", "argv")
 DOCUMENT_PROPERTIES = ("cookie", "forms")
+# Patterns of such reads, with the properties put in, and of files that an install script runs.
+PROCESS_READ = r"(?<![a-zA-Z0-9])(process\.(?:%s))(?![a-zA-Z0-9(\[])"
+DOCUMENT_READ = r"(?<![a-zA-Z0-9])(document\.(?:%s))(?![a-zA-Z0-9(])(?! *=)"
+SCRIPT_FILE = r"node\s+([^\s]+\.js\b)"
 #: Install hooks of a manifest.
 HOOKS = ("preinstall", "install", "postinstall")
 #: Longest module name.
@@ -16,8 +20,7 @@ NAME_LIMIT = 214
 
 def property_calls(code: Column) -> Column:
     """T4: reads of process and document properties become calls."""
-    process = rf"(?<![a-zA-Z0-9])(process\.(?:{'|'.join(PROCESS_PROPERTIES)}))(?![a-zA-Z0-9(\[])"
-    document = rf"(?<![a-zA-Z0-9])(document\.(?:{'|'.join(DOCUMENT_PROPERTIES)}))(?![a-zA-Z0-9(])(?! *=)"
+    process, document = (pattern % "|".join(names) for pattern, names in ((PROCESS_READ, PROCESS_PROPERTIES), (DOCUMENT_READ, DOCUMENT_PROPERTIES)))
     return F.regexp_replace(F.regexp_replace(code, process, "$1()"), document, "$1()")
 
 
@@ -39,7 +42,7 @@ def is_legal_module(name: Column) -> Column:
 
 def script_files(script: Column) -> Column:
     """JavaScript files that an install script runs with node."""
-    return F.regexp_extract_all(script, F.lit(r"node\s+([^\s]+\.js\b)"), F.lit(1))
+    return F.regexp_extract_all(script, F.lit(SCRIPT_FILE), F.lit(1))
 
 
 def has_sensitive_extension(name: Column) -> Column:
