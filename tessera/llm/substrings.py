@@ -7,19 +7,19 @@ documents through the indexes of all shards would be quadratic in the shards, so
    in the same place form a run of at most size - gram + 1 windows. A window's anchor depends on its words only,
    so equal windows have equal anchors.
 2. Anchors that occur once drop out, and with them most of the corpus: their windows can't be repeated.
-3. Runs with equal words become one row with a count and the place of one of them. An anchor with one such
-   row needs no search. The words of the others are fetched and sent to shards by anchor.
+3. Runs with equal words become one row with a count and the place of one of them, whose words are fetched and sent to
+   a shard by anchor. So anchors and hashes only route and count; nothing is called repeated by them.
 4. Each shard is indexed (tessera.llm.fm_index) and its runs are streamed through it: backward search over the
-   wavelet matrix gives the matching statistics, and the windows above the threshold.
-5. What was found goes back to all places of each run, and the documents are cut.
+   wavelet tree gives the matching statistics, and the windows above the threshold. Words are told apart by their bytes.
+5. What was found goes back to all places of each run, where a second hash over the bytes makes sure that the place
+   holds the words that were searched, and the documents are cut.
 
 Anchors with more than `crowded` different runs (the edge of a passage that very many documents share) are split:
 each window of them is a sequence of its own and goes to a shard by all of its words. Nothing is dropped or capped.
-Words are compared by 64-bit hashes, runs by two of them.
 
 Defined results: null and empty texts have no words and an empty rest; rows with equal doc_id and text count as
 copies; copies in one document count, overlapping ones too; an empty table gives no rows; input columns named like
-the result's are replaced.
+the result's are replaced. Names that begin with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,14 +37,16 @@ from tessera.llm import words as W
 from tessera.llm.scratch import Scratch
 from tessera.llm.worker import lean
 
-RUNS = "k1 long, k2 long, anchor long, content long, start int, n int"
+RUNS = "__k1 long, __k2 long, anchor long, content long, start int, n int"
 #: Symbols of a shard, about.
 SHARD = 400_000
+#: Low bits of a gram's hash that make way for its place when the smallest of a window is sought.
+_PLACE = np.uint64(32)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents with the two longs that tell texts apart."""
-    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "k2": F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))})
+    return docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__k2": F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))})
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -62,8 +65,7 @@ def runs_of(w: W.Words, size: int, gram: int) -> tuple[np.ndarray, ...]:
     if n <= 0:
         return none, none, none, none, none
     grams = W.rolling(w.key, gram)
-    bits = np.uint64(len(grams).bit_length())
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = (np.uint64(1) << _PLACE) - np.uint64(1)  # the same for all texts, so equal windows choose alike
     least = _sliding_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), size - gram + 1)
     place = (least & low).astype(np.int64)
     doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
@@ -76,12 +78,10 @@ def runs_of(w: W.Words, size: int, gram: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(inside)))
     start = inside[first]
-    with np.errstate(over="ignore"):
-        odd, inverse = W._P, np.uint64(pow(int(W._P), -1, 1 << 64))
-        up = np.cumprod(np.full(len(w.key), odd, np.uint64))
-        down = np.cumprod(np.full(len(w.key), inverse, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.key * up, dtype=np.uint64)])
-        content = W.mix((sums[start + count + size - 1] - sums[start]) * down[start] + count.astype(np.uint64))
+    content, long = count.astype(np.uint64), count + size - 1
+    for k in range(2 * size - gram):
+        some = slice(None) if k < size else np.flatnonzero(long > k)
+        content[some] = W.mix(content[some] ^ w.key[start[some] + k]) * W._P
     return doc[first], start - w.first[doc[first]], count, grams[place[first]].view(np.int64), content.view(np.int64)
 
 
@@ -91,114 +91,144 @@ def runs(docs: DataFrame, size: int, gram: int) -> DataFrame:
     def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in rows:
-            k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
+            k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__k1", "__k2"))
             data, offsets = W.buffers(b.column("text"))
             for lo, hi in W.runs(offsets):
                 doc, start, count, anchor, content = runs_of(W.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), size, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(k1[lo:hi][doc]), pa.array(k2[lo:hi][doc]), pa.array(anchor), pa.array(content), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["k1", "k2", "anchor", "content", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[lo:hi][doc]), pa.array(k2[lo:hi][doc]), pa.array(anchor), pa.array(content), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["__k1", "__k2", "anchor", "content", "start", "n"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(find, RUNS)
+    return docs.select("__k1", "__k2", "text").mapInArrow(find, RUNS)
+
+
+def _digest(piece: bytes) -> int:
+    """A second hash of a run, of its bytes."""
+    return xxhash.xxh3_64_intdigest(piece, 29) - (1 << 63)
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, size: int, shards: int) -> DataFrame:
-    """(shard, anchor, content, at, copies, words) of the wanted runs; words: 64-bit keys."""
-    per = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "content", "start", "n", "copies", "split")).alias("wanted"))
-    joined = docs.select("k1", "k2", "text").join(per, ["k1", "k2"]).select("text", "wanted")
+    """(shard, anchor, content, at, copies, digest, words) of the wanted runs; words: joined by one space."""
+    per = wanted.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("anchor", "content", "start", "n", "copies", "split")).alias("__wanted"))
+    joined = docs.select("__k1", "__k2", "text").join(per, ["__k1", "__k2"]).select("text", "__wanted")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        names = ("anchor", "content", "at", "copies", "words", "spread")
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+        names = ("anchor", "content", "at", "copies", "digest", "words", "spread")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
         for b in rows:
             data, offsets = W.buffers(b.column("text"))
-            lists = b.column("wanted")
+            lists = b.column("__wanted")
             for lo, hi in W.runs(offsets):
                 w = W.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                odd = W.one_spaced(w)
                 out: list[tuple] = []
                 for d in range(lo, hi):
-                    key = w.key[w.of(d - lo)]
+                    origin = int(w.first[d - lo])
                     for r in lists[d].as_py():
-                        piece = key[r["start"] : r["start"] + r["n"] + size - 1]
+                        first, end = origin + r["start"], origin + r["start"] + r["n"] + size - 1
+                        piece = W.passage(w, odd, first, end)
+                        head = (r["anchor"], r["content"])
                         if r["split"]:
-                            spread = W.rolling(piece, size, 1).view(np.int64).tolist()
-                            out += [(r["anchor"], r["content"], i, r["copies"], piece[i : i + size].tobytes(), s) for i, s in enumerate(spread)]
+                            spread = W.rolling(w.key[first:end], size, 1).view(np.int64).tolist()
+                            out += [(*head, i, r["copies"], _digest(piece), W.passage(w, odd, first + i, first + i + size), s) for i, s in enumerate(spread)]
                         else:
-                            out.append((r["anchor"], r["content"], 0, r["copies"], piece.tobytes(), r["anchor"]))
+                            out.append((*head, 0, r["copies"], _digest(piece), piece, r["anchor"]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
 
-    cuts = joined.mapInArrow(cut, "anchor long, content long, at int, copies long, words binary, spread long")
+    cuts = joined.mapInArrow(cut, "anchor long, content long, at int, copies long, digest long, words binary, spread long")
     return cuts.withColumn("shard", F.pmod(F.xxhash64("spread"), F.lit(shards)).cast("int")).drop("spread")
 
 
 def _search(segments: DataFrame, size: int) -> DataFrame:
-    """(anchor, content, mask): bit i of mask says that window i of the run is repeated."""
+    """(anchor, content, digest, mask): bit i of mask says that window i of the run is repeated."""
 
     def find(table: pa.Table) -> pa.Table:
         lean()
         from tessera.llm.fm_index import repeated
 
-        rows = {(a, c, i): (n, w) for a, c, i, n, w in zip(*(table.column(k).to_pylist() for k in ("anchor", "content", "at", "copies", "words")), strict=True)}
-        keys = sorted(rows)
-        copies = np.array([rows[k][0] for k in keys], np.int64)
-        found = repeated([np.frombuffer(rows[k][1], np.uint64) for k in keys], copies, copies < 2, size)
-        masks: list[tuple[int, int, int]] = []
-        for n, flags in zip(np.flatnonzero(copies < 2).tolist(), found, strict=True):
-            if flags.any():
-                anchor, content, at = keys[n]
-                masks.append((anchor, content, sum(1 << i for i in (np.flatnonzero(flags) + at).tolist())))
-        return pa.table({k: pa.array([m[i] for m in masks], pa.int64()) for i, k in enumerate(("anchor", "content", "mask"))})
+        table = table.sort_by([(k, "ascending") for k in ("anchor", "content", "at")])
+        anchor, content, at, copies, digest = (table.column(k).to_numpy() for k in ("anchor", "content", "at", "copies", "digest"))
+        new = np.ones(len(at), np.bool_)  # a task that ran twice or equal rows of documents give a run twice
+        new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (at[1:] != at[:-1])
+        nth = np.flatnonzero(new)
+        data, offsets = W.buffers(table.column("words").take(pa.array(nth)).cast(pa.string()))
+        w = W.words(data, offsets)
+        found = repeated(W.codes(w), np.diff(w.first), copies[nth], size)
+        masks = [(i, sum(1 << j for j in (np.flatnonzero(flags) + int(at[i])).tolist())) for i, flags in zip(nth.tolist(), found, strict=True) if flags.any()]
+        rows = np.array([i for i, _ in masks], np.int64)
+        return pa.table({"anchor": anchor[rows], "content": content[rows], "digest": digest[rows], "mask": pa.array([m for _, m in masks], pa.int64())})
 
-    return segments.groupBy("shard").applyInArrow(find, "anchor long, content long, mask long")
+    return segments.groupBy("shard").applyInArrow(find, "anchor long, content long, digest long, mask long")
 
 
 def _cut(docs: DataFrame, size: int) -> DataFrame:
-    """Documents with column found (start, mask of each run) to documents with their words counted and cut."""
-    columns = [c for c in docs.columns if c not in ("k1", "k2", "found", "n_words", "n_removed", "kept_text")]
+    """Documents with column __found (start, n, mask, digest of each run) to documents with their words counted and cut."""
+    columns = [c for c in docs.columns if c not in ("__k1", "__k2", "__found", "n_words", "n_removed", "kept_text")]
     schema = docs.select(columns).schema.add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_text", T.StringType())
 
+    def covered(w: W.Words, found: pa.Array) -> np.ndarray:
+        """Whether each word is in a repeated window."""
+        ends = np.concatenate([[0], np.cumsum(np.array([len(x) if x.is_valid else 0 for x in found], np.int64))])
+        flat = found.flatten()
+        start, n, mask, digest = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "mask", "digest"))
+        start = start + np.repeat(w.first[:-1], np.diff(ends))
+        odd = W.one_spaced(w)
+        for a, b, x in zip(start.tolist(), (start + n + size - 1).tolist(), digest.tolist(), strict=True):
+            if _digest(W.passage(w, odd, a, b)) != x:
+                raise ValueError("two different runs of words share a hash; choose another seed in tessera.llm.words")
+        edge = np.zeros(len(w.start) + 1, np.int64)
+        for k in range(int(n.max(initial=0))):
+            at = start[(mask >> k) & 1 == 1] + k
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + size, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    def rest(w: W.Words, offsets: np.ndarray, stay: np.ndarray) -> pa.Array:
+        """The words that stay, joined by one space."""
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))[stay]
+        start, end = w.start[stay], w.end[stay]
+        edge = np.zeros(len(w.data) + 1, np.int8)
+        edge[start] += 1
+        edge[end] -= 1
+        keep = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        follow = end[:-1][owner[:-1] == owner[1:]]  # a separator's byte, since a word of the text comes after it
+        data = w.data.copy()
+        data[follow] = 0x20
+        keep[follow] = True
+        to = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[offsets]
+        return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(to.tobytes()), pa.py_buffer(data[keep].tobytes())).cast(pa.string())
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in rows:
-            total, removed, kept = [], [], []
-            for text, found in zip(b.column("text"), b.column("found"), strict=True):
-                words = (text.as_py() or "").encode("utf-8").split()
-                gone = 0
-                total.append(len(words))
-                if runs := found.as_py():
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for r in runs:
-                        at = np.flatnonzero(np.unpackbits(np.array([r["mask"]], "<i8").view(np.uint8), bitorder="little")) + r["start"]
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + size, -1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    gone = len(words) - int(stay.sum())
-                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
-                removed.append(gone)
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*columns, "n_words", "n_removed", "kept_text"])
-
-    return docs.select(*columns, "found").mapInArrow(run, schema)
+            data, offsets = W.buffers(b.column("text"))
+            for lo, hi in W.runs(offsets):
+                local = offsets[lo : hi + 1] - offsets[lo]
+                w = W.words(data[offsets[lo] : offsets[hi]], local, hashed=False)
+                stay = ~covered(w, b.column("__found").slice(lo, hi - lo))
+                gone = np.concatenate([[0], np.cumsum(~stay)])[w.first]
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(np.diff(w.first)), pa.array(np.diff(gone)), rest(w, local, stay)], [*columns, "n_words", "n_removed", "kept_text"])
+
+    return docs.select(*columns, "__found").mapInArrow(run, schema)
 
 
 def dedup(docs: DataFrame, scratch: Scratch, size: int = 35, gram: int = 8, crowded: int = 8192) -> DataFrame:
     """The documents with n_words, n_removed and kept_text, the words that stay joined by one space."""
     if not gram <= size or 2 * size - gram > 64:
         raise ValueError("a run must fit in 64 words")
-    docs = _keyed(docs.drop("k1", "k2", "found"))
+    docs = _keyed(docs.drop("__k1", "__k2", "__found"))
     every = scratch.keep(runs(docs, size, gram), "runs")
     often = scratch.keep(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
     candidates = scratch.keep(every.join(often, "anchor", "left_semi"), "candidates")
     scratch.forget(every)
-    place = F.min(F.struct("k1", "k2", "start")).alias("p")
+    place = F.min(F.struct("__k1", "__k2", "start")).alias("p")
     rows = scratch.keep(candidates.groupBy("anchor", "content", "n").agg(F.count(F.lit(1)).alias("copies"), place).select("anchor", "content", "n", "copies", "p.*"), "contents")
-    several = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor", (F.col("m") > crowded).alias("split"))
-    wanted = scratch.keep(rows.join(several, "anchor"), "wanted")
+    crowds = rows.groupBy("anchor").count().filter(F.col("count") > crowded).select("anchor", F.lit(True).alias("split"))
+    wanted = scratch.keep(rows.join(crowds, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False))), "wanted")
     symbols = wanted.agg(F.sum(F.when(F.col("split"), F.col("n") * (size + 1)).otherwise(F.col("n") + size)).alias("s")).first()["s"] or 0
     searched = _search(_segments(docs, wanted, size, max(1, -(-symbols // SHARD))), size)
-    whole = rows.filter("copies > 1").select("anchor", "content", (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1).alias("mask"))
-    summed = searched.groupBy("anchor", "content").agg(F.bit_or("mask").alias("mask"))
-    masks = scratch.keep(whole.unionByName(summed), "masks")
-    found = candidates.join(masks, ["anchor", "content"]).select("k1", "k2", F.struct("start", "mask").alias("r"))
-    per = found.groupBy("k1", "k2").agg(F.collect_set("r").alias("found"))
-    return _cut(docs.join(per, ["k1", "k2"], "left"), size)
+    masks = scratch.keep(searched.groupBy("anchor", "content", "digest").agg(F.bit_or("mask").alias("mask")), "masks")
+    found = candidates.join(masks, ["anchor", "content"]).select("__k1", "__k2", F.struct("start", "n", "mask", "digest").alias("r"))
+    per = found.groupBy("__k1", "__k2").agg(F.collect_set("r").alias("__found"))
+    return _cut(docs.join(per, ["__k1", "__k2"], "left"), size)

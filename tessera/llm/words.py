@@ -1,8 +1,7 @@
 """Words of whole Arrow batches, found and hashed with numpy on the UTF-8 bytes themselves.
 
-No Python object is made per word. Bytes of one character above U+007F are all >= 0x80, so classes of
-ASCII separators can be looked up byte by byte. Work goes in blocks cut at separators, so memory is
-bounded by a block and the word arrays, not by a multiple of the longest text.
+No Python object is made per word but for very long ones. Bytes of one character above U+007F are all >= 0x80, so
+classes of ASCII separators can be looked up byte by byte.
 """
 
 from __future__ import annotations
@@ -12,8 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-BLOCK = 1 << 20
+#: Bytes of the longest word whose hash is made beside others; a longer one is hashed by itself.
+SHORT = 64
 #: Texts of one call; a batch is cut into runs of about this many bytes.
 RUN_BYTES = 1 << 20
 
@@ -39,15 +40,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(BLOCK + 1, _P, np.uint64))
-        down = np.cumprod(np.full(BLOCK + 1, inverse, np.uint64))
-    return up, down
+_SEED = np.uint64(0x243F6A8885A308D3)
+#: Lowest 0 to 8 bytes of a long.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one long; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-_POWERS: tuple[np.ndarray, np.ndarray] | None = None
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each data[start:end]: eight bytes a round through a bijective mixer, XXH64 for long ones.
+
+    Different words of one length up to eight bytes never share a hash.
+    """
+    loads, size = eights(data), end - start
+    key = size.astype(np.uint64) * _P ^ _SEED
+    for at in range(0, min(SHORT, int(size.max(initial=0))), 8):
+        left = size - at
+        if at == 0:
+            key = mix(key ^ (loads[start] & _BYTES[np.minimum(left, 8)])) * _P
+        else:
+            some = np.flatnonzero(left > 0)
+            key[some] = mix(key[some] ^ (loads[start[some] + at] & _BYTES[np.minimum(left[some], 8)])) * _P
+    for i in np.flatnonzero(size > SHORT).tolist():
+        key[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes(), 17)
+    return key
 
 
 @dataclass
@@ -90,10 +110,6 @@ def runs(offsets: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int]
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, lower: bool = False, hashed: bool = True) -> Words:
     """Maximal runs of bytes that are no separators, within each text."""
-    global _POWERS
-    if _POWERS is None:
-        _POWERS = _powers()
-    up, down = _POWERS
     if lower:
         data = LOWER[data]
     n = len(data)
@@ -111,30 +127,42 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE,
     else:
         start = end = np.zeros(0, np.int64)
     first = np.searchsorted(start, offsets).astype(np.int64)
-    key = np.zeros(len(start), np.uint64)
-    if hashed and len(start):
-        with np.errstate(over="ignore"):
-            at = 0
-            while at < len(start):
-                to = max(at + 1, int(np.searchsorted(end, start[at] + BLOCK, "right")))
-                lo, hi = int(start[at]), int(end[to - 1])
-                if hi - lo > BLOCK:  # one word longer than a block
-                    h, piece = np.uint64(0), data[lo:hi]
-                    for k in range(0, hi - lo, BLOCK):
-                        part = piece[k : k + BLOCK].astype(np.uint64) + np.uint64(1)
-                        h = mix(np.array([h + (part * up[: len(part)]).sum(dtype=np.uint64)], np.uint64))[0]
-                    key[at] = h
-                else:
-                    sums = np.empty(hi - lo + 1, np.uint64)
-                    sums[0] = 0
-                    np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], dtype=np.uint64, out=sums[1:])
-                    s, e = start[at:to] - lo, end[at:to] - lo
-                    key[at:to] = (sums[e] - sums[s]) * down[s]
-                at = to
-            key = mix(key ^ ((end - start).astype(np.uint64) * _MIX1))
+    key = hashes(data, start, end) if hashed else np.zeros(len(start), np.uint64)
     return Words(data, start, end, key, first)
 
 
+def codes(w: Words) -> np.ndarray:
+    """A number 0.. for each different word, settled by its bytes: hashes only bring equal words together."""
+    _, lead, code = np.unique(w.key, return_index=True, return_inverse=True)
+    first, loads, size = lead[code], eights(w.data), w.end - w.start
+    same = bool((size == size[first]).all())
+    for at in range(0, min(SHORT, int(size.max(initial=0))) if same else 0, 8):
+        some = np.flatnonzero(size > at)
+        differ = (loads[w.start[some] + at] ^ loads[w.start[first[some]] + at]) & _BYTES[np.minimum(size[some] - at, 8)]
+        same = same and not differ.any()
+    same = same and all(w.data[w.start[i] : w.end[i]].tobytes() == w.data[w.start[first[i]] : w.end[first[i]]].tobytes() for i in np.flatnonzero(size > SHORT).tolist())
+    if same:
+        return code
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(w.data[a:b].tobytes(), len(known)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)], np.int64)
+
+
+def one_spaced(w: Words) -> np.ndarray:
+    """For each word, the words up to it that aren't followed by exactly one space and the next word."""
+    odd = np.ones(len(w.start) + 1, np.int64)
+    odd[0] = 0
+    if len(w.start) > 1:
+        odd[1:-1] = (w.start[1:] - w.end[:-1] != 1) | (w.data[np.minimum(w.end[:-1], len(w.data) - 1)] != 0x20)
+    return np.cumsum(odd)
+
+
+def passage(w: Words, odd: np.ndarray, a: int, b: int) -> bytes:
+    """Words a..b - 1 joined by one space; odd: one_spaced(w)."""
+    if odd[b - 1] == odd[a]:
+        return w.data[w.start[a] : w.end[b - 1]].tobytes()
+    return b" ".join(w.data[w.start[i] : w.end[i]].tobytes() for i in range(a, b))
+
+
 def rolling(key: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Hash of each `size` consecutive keys; len(key) - size + 1 values, or none."""
     n = len(key) - size + 1

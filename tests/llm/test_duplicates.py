@@ -11,7 +11,7 @@ import xxhash
 
 from tessera.llm import simhash, substrings
 from tessera.llm import words as W
-from tessera.llm.fm_index import repeated
+from tessera.llm.fm_index import Index, repeated
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,11 +124,53 @@ def test_windows_by_index_equal_brute_force():
         for t, n in zip(distinct, weight, strict=True):
             for i in range(len(t) - size + 1):
                 count[t[i : i + size]] += int(n)
-        got = repeated([np.array(t, np.uint64) for t in distinct], weight, np.ones(len(distinct), bool), size)
+        coded = np.unique([x for t in distinct for x in t], return_inverse=True)[1]
+        got = repeated(coded, np.array([len(t) for t in distinct]), weight, size)
         for t, flags in zip(distinct, got, strict=True):
             assert flags.tolist() == [count[t[i : i + size]] > 1 for i in range(len(t) - size + 1)]
 
 
+def test_occurrences_of_the_tree():
+    rng = np.random.default_rng(2)
+    for sigma in (1, 2, 3, 9, 300):
+        symbols = np.concatenate([np.arange(sigma), np.minimum(sigma - 1, rng.geometric(0.2, 500))])
+        index = Index(symbols, sigma, np.ones(len(symbols), np.int64))
+        rank = [tuple(symbols[i:].tolist()) for i in range(len(symbols))]
+        last = [symbols[i - 1] for i in sorted(range(len(symbols)), key=lambda i: rank[i])]
+        at = rng.integers(0, len(symbols) + 1, 200)
+        which = rng.integers(0, sigma, 200)
+        got = index.occurrences(which, at[None, :])[0]
+        assert got.tolist() == [sum(x == c for x in last[:k]) for c, k in zip(which, at, strict=True)]
+
+
+def thue_morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("n", [16, 1024, 2048, 4096])
+def test_words_that_defeat_polynomial_hashes(docs_of, scratch, n):
+    shared = [f"s{i}" for i in range(34)]
+    rows = [(1, " ".join([thue_morse(n, "a", "b"), *shared])), (2, " ".join([thue_morse(n, "b", "a"), *shared])), (3, " ".join(shared))]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.dedup(docs_of(rows), scratch).collect()}
+    assert got == {1: 0, 2: 0, 3: 0}
+
+
+def test_different_words_with_one_hash_are_told_apart():
+    raw = b"some words some more words"
+    w = W.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert len(set(W.codes(w).tolist())) == 3
+    w.key[:] = 5
+    assert W.codes(w).tolist() == [0, 1, 0, 2, 1]
+
+
+def test_runs_that_share_a_hash_are_not_passed_over(docs_of, scratch, monkeypatch):
+    rows = [(1, " ".join(f"a{i}" for i in range(40))), (2, " ".join(f"a{i}" for i in range(40)))]
+    assert [r["n_removed"] for r in substrings.dedup(docs_of(rows), scratch).collect()] == [40, 40]
+    spaced = W.words(np.frombuffer(b"a  b c\td e", np.uint8), np.array([0, 10]))
+    odd = W.one_spaced(spaced)
+    assert [W.passage(spaced, odd, i, j) for i, j in ((0, 2), (1, 3), (2, 4), (3, 5), (0, 5))] == [b"a b", b"b c", b"c d", b"d e", b"a b c d e"]
+
+
 def test_words_are_those_of_the_pattern():
     texts = ["", " a\tb\x0bc ", "é日 x", "no-space", "a" * 3_000_000 + " b", "\n\n"]
     raw = [t.encode() for t in texts]
