@@ -5,6 +5,9 @@ pieces first, the pieces encoded on their own and the ids strung together: the r
 whole text. Pieces repeat, so a cache of their ids replaces most of the work. The cache is bounded and
 only saves time. The pattern is spelt out for characters up to U+00FF, where letter, digit and space
 classes are settled; other texts are cut only before single spaces, which is safe for any character.
+
+The ids are those of the library's plain call, encode(text, add_special_tokens=False). So strings of added tokens, such
+as <|endoftext|>, become their ids wherever they stand: texts are cut at them first.
 """
 
 from __future__ import annotations
@@ -61,7 +64,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {c: array("I", [i]).tobytes() for c, (i, _) in added.items()}
+        self.plain = not any(t.single_word or t.lstrip or t.rstrip for _, t in added.values())  # else where they match depends on what stands around
+        self.cut = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the generation before: what is used again moves on, the rest goes
 
@@ -72,8 +78,28 @@ class Encoder:
         letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
+    def _parts(self, text: str | None) -> list[tuple[str, bool]]:
+        """The texts between added tokens, and those tokens (True)."""
+        if not text:
+            return []
+        if self.cut is None:
+            return [(text, False)]
+        return [(p, k % 2 == 1) for k, p in enumerate(self.cut.split(text)) if p]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is an empty text."""
+        if self.cut is not None and any(t and self.cut.search(t) for t in texts):
+            return [self._with_added(t) for t in texts]
+        return self._encode(texts)
+
+    def _with_added(self, text: str | None) -> bytes:
+        if not self.plain and text:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = self._parts(text)
+        ids = iter(self._encode([p for p, special in parts if not special]))
+        return b"".join(self.added[p] if special else next(ids) for p, special in parts)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut, single, mixed = [], set(), set()
         for t in texts:
             p, one = pieces(t) if t else ([], True)

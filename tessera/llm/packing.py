@@ -6,8 +6,10 @@
    decreasing, where all open sequences with the same room are one run of sequence numbers. The plan says,
    for each length, which ranks go to which run of sequences, at which offset.
 3. A piece's rank within its length is its number in its (partition, length) plus the counts of the
-   partitions before. It joins the plan on length and rank; the plan's size is bounded by `size` alone (a
-   run is split at most once for each length), so the plan is broadcast.
+   partitions before. These are one array of `size` numbers for each partition, broadcast up to `most_parts`
+   partitions (67 MB) and beyond that joined by a shuffle on the partition.
+4. Pieces join the plan on length and rank; the plan's size is bounded by `size` alone (a run is split at most once
+   for each length), so the plan is broadcast.
 
 Defined results: null or empty text is a document with the separator only; rows with equal doc_id are packed
 as documents of their own; an empty table gives no rows; further columns are ignored. No rows meet by length
@@ -95,16 +97,29 @@ def tokenize(docs: DataFrame, size: int, tokenizer: str, end_id: int) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, scratch: Scratch, size: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def bases(counts: DataFrame, size: int) -> DataFrame:
+    """(part, before): how many pieces of each length, counted from 0, the partitions before have. counts: (part, length, n)."""
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("b"))
+
+    def dense(table: pa.Table) -> pa.Table:
+        out = np.zeros(size + 1, np.int64)
+        out[table.column("length").to_numpy()] = table.column("b").to_numpy()
+        return pa.table({"part": table.column("part").slice(0, 1), "before": pa.array([out], pa.list_(pa.int64()))})
+
+    return rows.groupBy("part").applyInArrow(dense, "part int, before array<long>")
+
+
+def pack(docs: DataFrame, scratch: Scratch, size: int = 2048, tokenizer: str | None = None, end_id: int = 0, most_parts: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) of each piece of each document."""
     spark = docs.sparkSession
     pieces = scratch.keep(tokenize(docs, size, tokenizer or default_tokenizer(), end_id), "pieces", "zstd")
     counts = scratch.keep(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     slots = F.broadcast(spark.createDataFrame(plan(histogram, size), PLAN))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    base = scratch.keep(bases(counts, size), "bases")
+    base = F.broadcast(base) if base.count() <= most_parts else base.hint("merge")
+    ranked = pieces.join(base, "part").withColumn("rank", F.get("before", F.col("length").cast("int")) + F.col("nth")).drop("before")
     p, s = ranked.alias("p"), slots.alias("s")
     nth = F.col("p.rank") - F.col("s.low")
     return p.join(s, (F.col("p.length") == F.col("s.length")) & nth.between(0, F.col("s.high") - F.col("s.low") - 1)).select(

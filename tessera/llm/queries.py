@@ -53,9 +53,9 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op8")
     talks = scratch.keep(chat.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "transcripts")
     model = chat.train(talks.filter(~chat.held_out(F.col("conv_id"))))
-    found = chat.parse(talks, model)
+    found = chat.parse_conversations(talks, model)
     roles = F.array_join("roles", ",").alias("given_roles")
-    return found.select("conv_id", "block", chat.held_out(F.col("conv_id")).alias("held_out"), "n_turns", "found_roles", roles, "rendered")
+    return found.select("conv_id", "block", "style", chat.held_out(F.col("conv_id")).alias("held_out"), "n_turns", "found_roles", roles, "rendered")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ functions only, no shuffle and no user function. Values that several measures ne
 
 Repeated three-word windows are found by sorting: a window's key is its hash with its position in the low bits,
 so after a sort of plain longs equal windows stand side by side. Neighbours whose hashes agree are compared word
-by word; should two different windows ever share a hash, that text alone takes a slower exact path.
+by word. Where two different windows share a hash, which long texts make likely since places take bits from it, the
+text's windows whose hashes repeat are sorted once more, by their words.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; ratios over nothing
 are 0; rows with equal doc_id keep a row each; an empty table gives no rows; columns of the input whose names
@@ -88,16 +89,28 @@ def repeat_words(words: Column, hashed: Callable[..., Column] = F.xxhash64) -> C
             steps = F.transform(at, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(at, j + 1) - p, F.lit(WINDOW))))
             return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        def exact() -> Column:
-            everywhere = F.sequence(F.lit(0), n - WINDOW)
-            return F.filter(everywhere, lambda i: F.exists(everywhere, lambda j: (i != j) & equal(i, j)))
+        def by_words(some: Column) -> Column:
+            """Places of the windows among these whose words stand elsewhere among them."""
+            spelt = F.sort_array(F.transform(some, lambda x: F.struct(*(F.get(w, place(x) + k).alias(f"w{k}") for k in range(WINDOW)), place(x).alias("at"))))
+
+            def of_spelt(s: Column) -> Column:
+                def alike(x: Column, y: Column) -> Column:
+                    out = x["w0"] == y["w0"]
+                    for k in range(1, WINDOW):
+                        out = out & (x[f"w{k}"] == y[f"w{k}"])
+                    return F.coalesce(out, F.lit(False))
+
+                again = F.filter(s, lambda x, j: alike(x, F.get(s, j + 1)) | alike(x, F.get(s, F.when(j > 0, j - 1))))
+                return F.transform(again, lambda x: x["at"])
+
+            return let(spelt, of_spelt)
 
         def from_sorted(s: Column) -> Column:
             twins = F.filter(s, lambda x, j: F.coalesce(same(x, F.get(s, j + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, F.when(j > 0, j - 1))), F.lit(False)))
 
             def of_twins(d: Column) -> Column:
-                clash = F.filter(d, lambda x, j: F.coalesce(same(x, F.get(d, j + 1)) & ~equal(place(x), place(F.get(d, j + 1))), F.lit(False)))
-                at = F.when(F.size(clash) > 0, exact()).otherwise(F.sort_array(F.transform(d, place)))
+                clashes = F.filter(d, lambda x, j: F.coalesce(same(x, F.get(d, j + 1)) & ~equal(place(x), place(F.get(d, j + 1))), F.lit(False)))
+                at = F.sort_array(F.when(F.size(clashes) > 0, by_words(d)).otherwise(F.transform(d, place)))
                 return F.when(F.size(d) == 0, F.lit(0).cast("long")).otherwise(let(at, covered))
 
             return let(twins, of_twins)

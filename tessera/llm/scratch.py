@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import ship
@@ -26,14 +27,33 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named (tests, laptops)."""
+    """The cluster's shared folder. One on this machine is made only where none is named and nothing else runs (tests, laptops)."""
     path = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{KEY} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(KEY, path)
     return path.rstrip("/")
 
 
+def slim(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage and hand what it freed back to the system.
+
+    Shuffle files of finished steps stay until their handles are collected; and each of the many threads of a driver
+    keeps native memory of its own that it has freed.
+    """
+    jvm = spark._jvm
+    jvm.System.gc()
+    try:
+        server, arguments = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        arguments[0], arguments[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(server, arguments)  # by reflection, since the server's own class is not exported
+    except Py4JError:  # another virtual machine, or one without this command
+        pass
+
+
 class Scratch:
     """A private folder below the shared one. drop() removes it; so does the end of the session."""
 
@@ -60,7 +80,7 @@ class Scratch:
         where = self.path(name)
         writer = df.write.option("compression", compression) if compression else df.write
         writer.parquet(where)
-        self.spark._jvm.System.gc()  # shuffle files of finished steps stay until the driver collects its garbage
+        slim(self.spark)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._tessera_path = where  # noqa: SLF001
         return out

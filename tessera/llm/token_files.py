@@ -3,7 +3,7 @@
 write() encodes documents, sorts them by doc_id and writes segments of tessera.llm.dac, one Parquet row
 each (uncompressed, so a segment's bytes lie in the file as they are). The table is committed by Spark's
 writer: a lost executor or a second attempt of a task leaves no half-written segment. read() gives the
-documents back from the files alone.
+documents back from the files alone, tokens_at() single ids.
 
 Defined results: null text is an empty text (only the end id); a null doc_id sorts first; rows with equal
 doc_id are kept, in order of their texts' hashes; an empty table gives an empty set of files; further
@@ -90,15 +90,50 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     rows.mapInArrow(encode, SEGMENT).write.mode("overwrite").option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
 
 
+def _bases(files: DataFrame) -> tuple[dict[int, int], int]:
+    """Ids before each partition of the files, and all ids."""
+    base, total = {}, 0
+    for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row for each partition of the files
+        base[r["part"]], total = total, total + r["n"]
+    return base, total
+
+
+def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
+    """(position, id) of single ids of the whole corpus, each by one look-up on each level; no segment is decoded.
+
+    positions: counted over all documents, as `start` is; one beyond the files gives no row, a repeated one several.
+    Only files of partitions that hold a position are read.
+    """
+    files = spark.read.schema(SEGMENT).parquet(path)
+    base, total = _bases(files)
+    parts, starts = list(base), np.array(list(base.values()), np.int64)
+    wanted: dict[int, list[int]] = {}
+    for p in positions:
+        if 0 <= p < total:
+            part = parts[int(np.searchsorted(starts, p, "right")) - 1]
+            wanted.setdefault(part, []).append(p - base[part])
+
+    def look(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm.dac import Segment
+
+        for batch in rows:
+            for part, start, n, body in zip(*(batch.column(c) for c in ("part", "start", "n_tokens", "body")), strict=True):
+                before, low = base[part.as_py()], start.as_py()
+                own = [p for p in wanted[part.as_py()] if low <= p < low + n.as_py()]
+                if own:
+                    segment = Segment(body.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array([before + p for p in own], pa.int64()), pa.array([segment[p - low] for p in own], pa.int64())], ["position", "id"])
+
+    return files.filter(F.col("part").isin(list(wanted))).select("part", "start", "n_tokens", "body").mapInArrow(look, "position long, id long")
+
+
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files.
 
     start counts the ids of all documents before it; ids are little-endian unsigned 32-bit integers.
     """
     files = spark.read.schema(SEGMENT).parquet(path)
-    base, total = {}, 0
-    for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row for each partition of the files
-        base[r["part"]], total = total, total + r["n"]
+    base, _ = _bases(files)
 
     def decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.dac import Segment

@@ -1,14 +1,18 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, licenses, quality, rules, warc
+from tessera.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -188,16 +192,147 @@ def test_revisits(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def whole(spark, rows, block):
+    """Texts and results of conversations given in blocks, put together again."""
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.transcripts(talks, block).withColumn("rendered", F.lit("clash")).withColumn("found_roles", F.lit(1))
+    got = sorted(chat.parse_conversations(made, MODEL).collect(), key=lambda r: (r["conv_id"] or -1, r["block"]))
+    out = {}
+    for r in got:
+        text, rendered, roles, n = out.get(r["conv_id"], ("", "", [], 0))
+        out[r["conv_id"]] = text + r["text"], rendered + r["rendered"], roles + [x for x in r["found_roles"].split(",") if x], n + r["n_turns"]
+    return out
+
+
+MODEL = chat.Model.of_counts({})
+
+
+def test_blocks_are_parsed_as_wholes(spark):
+    rng = random.Random(8)
+    bodies = ["yes", "well?", "x " * 30, "a line\nand another", "", None, "long " * 60]
+    rows = [(c, t, rng.choice(["system", "user", "assistant", "tool", "critic", None]), rng.choice(bodies)) for c in range(40) for t in range(rng.randrange(1, 12))]
+    rows += [(None, 0, "user", "z"), (None, 1, "assistant", "y")] + [(99, t, "user" if t % 2 else "assistant", "so") for t in range(1300)]
+    once = whole(spark, rows, 10_000)
+    for block in (1, 3, 512):
+        assert whole(spark, rows, block) == once
+    assert once[99][3] == 1300
+
+
+def test_the_likeliest_states():
+    rng = random.Random(9)
+    for _ in range(20):
+        lines = [(rng.choice([*chat.ROLES, "none"]), rng.choice(["blank", "tight"]), "short", "") for _ in range(rng.randrange(1, 5))]
+
+        def score(path, lines=lines):
+            return MODEL.start[path[0]] + sum(MODEL.step[i, j] for i, j in zip(path, path[1:], strict=False)) + sum(MODEL.seen(x)[i] for i, x in zip(path, lines, strict=True))
+
+        best = max(score(p) for p in itertools.product(range(len(chat.STATES)), repeat=len(lines)))
+        assert abs(score(MODEL.states(lines)) - best) < 1e-9
+        assert abs(MODEL.passage(lines)[-1].max() - best) < 1e-9
+
+
 def test_chat(spark):
     talks = spark.createDataFrame([(1, 0, "user", "Hi there\nhow are you?"), (1, 1, "assistant", "Fine."), (1, 1, "assistant", "Fine."), (2, 0, None, None), (3, 0, "system", "Be short."), (3, 1, "user", "x"), (None, 0, "user", "z")], "conv_id long, turn long, role string, text string")
     made = chat.transcripts(talks)
-    assert made.count() == 4
-    real = chat.transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    assert made.count() == 4 and {tuple(r["roles"]) for r in made.collect()} == {("user", "assistant", "assistant"), ("other",), ("system", "user"), ("user",)}
+    real = chat.transcripts(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet"))
     model = chat.train(real.filter(~chat.held_out(F.col("conv_id"))))
-    held = chat.parse(real.filter(chat.held_out(F.col("conv_id"))), model).collect()
-    assert sum(r["found_roles"] == ",".join(r["roles"]) for r in held) / len(held) >= 0.95
-    texts = spark.createDataFrame([(1, None), (2, ""), (3, "User: hi\n\nBot: yes\nmore"), (4, "### Assistant\nhello"), (5, "Q: a?\nA: b\n" * 5000)], "id int, text string").withColumn("n_turns", F.lit("clash"))
+    held = chat.parse_conversations(real.filter(chat.held_out(F.col("conv_id"))), model).collect()
+    right = {k: [r["found_roles"] == ",".join(r["roles"]) for r in held if r["style"] == k] for k in range(6)}
+    assert all(sum(v) / len(v) >= 0.95 for k, v in right.items() if k in (0, 1, 2, 5))
+    assert all(sum(v) / len(v) >= 0.8 for v in right.values())
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "User: hi\n\nBot: yes\nmore"), (4, "### Assistant\nhello"), (5, "Q: a?\nA: b\n" * 5000), (6, "Tool: 3\nAnswer: ok")], "id int, text string").withColumn("n_turns", F.lit("clash"))
     got = {r["id"]: r for r in chat.parse(texts, model).collect()}
     assert got[1]["n_turns"] == got[2]["n_turns"] == 0 and got[3]["rendered"] == "<|user|>\nhi\n<|end|>\n<|assistant|>\nyes\nmore\n<|end|>\n"
-    assert got[4]["found_roles"] == "assistant" and got[5]["n_turns"] == 10_000
-    assert chat.parse(texts.limit(0), model).count() == 0 and chat.Model.of_counts({}).turns("User: a\nAssistant: b") == [("user", "a"), ("assistant", "b")]
+    assert got[4]["found_roles"] == "assistant" and got[5]["n_turns"] == 10_000 and got[6]["found_roles"] == "tool,assistant"
+    assert chat.parse(texts.limit(0), model).count() == 0 and MODEL.turns("User: a\nAssistant: b") == [("user", "a"), ("assistant", "b")]
+    assert chat.parse_conversations(made.limit(0), model).count() == 0
+
+
+def plain_scores(model, text):
+    """The forward pass, passage by passage with plain numbers."""
+    words = (text or "").encode().lower().split()
+    pieces = [words[i : i + quality.PASSAGE] for i in range(0, len(words), quality.PASSAGE)] or [[]]
+    data, offsets = np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())])
+    w = W.words(data, offsets, lower=True)
+    first, low, high = quality.passages(w)
+    assert [b - a for a, b in zip(low, high, strict=True)] == [len(p) for p in pieces] and first.tolist() == [0, len(pieces)]
+    x = model.inputs(*quality.encode(w, low, high)).astype(np.float64)
+    v = {k: a.astype(np.float64) for k, a in model.weights.items()}
+    h = [np.tanh(r @ v["encode"] + v["shift"]) for r in x]
+    e = np.array([sum(np.tanh(a @ v["v"]) / (1 + np.exp(-(a @ v["u"]))) * v["a"]) for a in h])
+    share = np.exp(e) / np.exp(e).sum()
+    z = sum(s * a for s, a in zip(share, h, strict=True))
+    return 1 / (1 + np.exp(-(z @ v["out"] + v["bias"][0])))
+
+
+def test_attention_equals_its_formula(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = quality._untrained(24, 12, 3)
+    model.weights["out"] = rng.normal(size=24).astype(np.float32)
+    texts = ["", "one", "Some words, 12 of them!\n" * 40, " ".join(f"w{i}" for i in range(700))]
+    raw = [t.encode() for t in texts]
+    for at_once in (4096, 3):
+        monkeypatch.setattr(quality, "AT_ONCE", at_once)
+        got = model.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert np.allclose(got, [plain_scores(model, t) for t in texts], atol=1e-5)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    model = quality._untrained(6, 4, 3)
+    model.weights = {k: rng.normal(size=v.shape) * 0.5 for k, v in model.weights.items()}
+    x, first, y = rng.normal(size=(9, quality.BUCKETS + quality.STYLE)) * 0.1, np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = model.forward(x, first)["p"]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    found = model.gradients(x, first, y)
+    for name, w in model.weights.items():
+        for _ in range(5):
+            at = tuple(rng.integers(0, n) for n in w.shape)
+            kept, step = w[at], 1e-5
+            w[at] = kept + step
+            up = loss()
+            w[at] = kept - step
+            down = loss()
+            w[at] = kept
+            assert abs((up - down) / (2 * step) - found[name][at]) < 1e-6
+
+
+def test_long_labelled_texts_teach(spark):
+    good, bad = "calm even words follow here ", "ZZ 99 ## $$ "
+    rows = [(i, (good if i % 2 else bad) * 9_000) for i in range(40)]  # 108,000 characters and more
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels).select("doc_id", "score").collect()}
+    assert all((got[i] > 0.5) == (i % 2 == 1) for i in got)
+
+
+def test_windows_whose_hashes_clash(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"]) for _ in range(rng.randrange(0, 60))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
+    for hashed in (F.xxhash64, lambda *w: F.crc32(F.concat(*w)) % 3, lambda *w: F.lit(0).cast("long")):
+        for r in df.select("text", rules.repeat_words(F.col("w"), hashed).alias("n")).collect():
+            w = r["text"].split()
+            count = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+            assert r["n"] == len({k for i in range(len(w) - 2) if count[tuple(w[i : i + 3])] > 1 for k in range(i, i + 3)})
+
+
+def test_rules_on_millions_of_words(spark):
+    began = time.time()
+    many = spark.range(1).select(F.lit(1).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3_000_000)), lambda i: i.cast("string")), " ").alias("text"))
+    got = rules.assess(many).select("n_words", "n_repeat_words").first()
+    assert tuple(got) == (3_000_000, 0) and time.time() - began < 120
+
+
+def test_short_items_and_blocks(spark, docs_of, scratch):
+    items = spark.createDataFrame([(1, "Blue Whale"), (2, "yes"), (3, ""), (4, None), (5, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    texts = {1: "a blue whale, yes!", 2: "blue and whale", 3: None, 4: "whale", 5: "say one two three four five six seven eight nine ten. blue\nWHALE", 6: "so blue", 7: "yesterday"}
+    want = {1: {1, 2}, 2: set(), 3: set(), 4: set(), 5: {1, 5}, 6: set(), 7: set()}
+    for block in (4096, 2):
+        found = decontaminate.decontaminate(docs_of(list(texts.items())), items, scratch, block=block)
+        assert found.columns.count("matches") == 1
+        assert {r["doc_id"]: {m["item_id"] for m in r["matches"]} for r in found.collect()} == want
