@@ -15,7 +15,7 @@ rendered blocks, one after another, are the rendered conversation.
 
 Defined results: null and empty texts have no turns; lines before any turn belong to the first; memory is linear in
 a text's lines; rows with equal id are parsed each (conv_id and block must be unique where blocks are chained); roles
-other than the known ones, and null ones, are `other`; an empty table gives no rows; without training data a built-in
+other than the known ones, and null ones, are `other`; of equally likely paths any one is taken; an empty table gives no rows; without training data a built-in
 table of markers decides; input columns named like the result's are replaced.
 """
 

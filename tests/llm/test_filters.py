@@ -196,7 +196,7 @@ def whole(spark, rows, block):
     """Texts and results of conversations given in blocks, put together again."""
     talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat.transcripts(talks, block).withColumn("rendered", F.lit("clash")).withColumn("found_roles", F.lit(1))
-    got = sorted(chat.parse_conversations(made, MODEL).collect(), key=lambda r: (r["conv_id"] or -1, r["block"]))
+    got = sorted(chat.parse_conversations(made, UNEVEN).collect(), key=lambda r: (r["conv_id"] or -1, r["block"]))
     out = {}
     for r in got:
         text, rendered, roles, n = out.get(r["conv_id"], ("", "", [], 0))
@@ -204,7 +204,9 @@ def whole(spark, rows, block):
     return out
 
 
-MODEL = chat.Model.of_counts({})
+MODEL, UNEVEN = chat.Model.of_counts({}), chat.Model.of_counts({})
+UNEVEN.step += np.random.default_rng(1).random(UNEVEN.step.shape) / 100  # no two paths are equally likely
+UNEVEN.start += np.random.default_rng(2).random(UNEVEN.start.shape) / 100
 
 
 def test_blocks_are_parsed_as_wholes(spark):
