@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_revisits": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": substrings.SQL, "op4_revisits": warc.SQL, "op7_quality_rules": rules.sql()}

@@ -186,3 +186,23 @@ def assess(docs: DataFrame, rules: list[tuple[str, float | None, float | None]]
     out = docs.select(*docs.columns, let(measures(F.col("text")), judged).alias("__judged"))
     names = out.schema["__judged"].dataType["m"].dataType.names
     return out.select(*(c for c in docs.columns if c not in {*names, "base_failed", "kept"}), *(F.col(f"__judged.m.{n}").alias(n) for n in names), "__judged.base_failed", "__judged.kept")
+
+
+def sql(rules: list[tuple[str, float | None, float | None]] = RULES) -> str:
+    """The counts, base_failed and kept of each row of a table documents, as SQL."""
+    stops = ", ".join("'" + w + "'" for w in sorted({w for words in STOP_WORDS.values() for w in words.split()}))
+    bounds = [f"{name} >= {least}" for name, least, _ in rules if least is not None] + [f"{name} <= {most}" for name, _, most in rules if most is not None]
+    ratios = {"mean_word_chars": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"), "stop_word_ratio": ("n_stop_words", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "bullet_line_ratio": ("n_bullet_lines", "n_lines"), "ellipsis_line_ratio": ("n_ellipsis_lines", "n_lines"), "repeat_word_ratio": ("n_repeat_words", "n_words")}
+    made = ", ".join(f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0.0 END AS {name}" for name, (a, b) in ratios.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT rid, x FROM windows GROUP BY rid, x HAVING count(*) > 1),
+again AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM windows SEMI JOIN twice USING (rid, x)) GROUP BY rid),
+counts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop_words, len(lines) AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t\n\x0b\f\r]*[-*•‣]'))) AS n_bullet_lines, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\n\x0b\f\r]*$'))) AS n_ellipsis_lines
+    FROM d LEFT JOIN again USING (rid)),
+judged AS (SELECT *, {made}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(bounds)} AS kept FROM judged
+"""

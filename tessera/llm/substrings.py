@@ -232,3 +232,15 @@ def dedup(docs: DataFrame, scratch: Scratch, size: int = 35, gram: int = 8, crow
     found = candidates.join(masks, ["anchor", "content"]).select("__k1", "__k2", F.struct("start", "n", "mask", "digest").alias("r"))
     per = found.groupBy("__k1", "__k2").agg(F.collect_set("r").alias("__found"))
     return _cut(docs.join(per, ["__k1", "__k2"], "left"), size)
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+repeated AS (SELECT x FROM windows GROUP BY x HAVING count(*) > 1),
+gone AS (SELECT rid, list(DISTINCT p) AS gone FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN repeated USING (x)) GROUP BY rid),
+places AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT places.rid, string_agg(word, ' ' ORDER BY p) AS kept FROM places LEFT JOIN gone USING (rid) WHERE gone.gone IS NULL OR NOT list_contains(gone.gone, p) GROUP BY places.rid)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone.gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)
+"""
