@@ -1,9 +1,10 @@
 """Graphs as tables, keyed by package: normalisation, set operations, closures and contraction onto sensitive nodes.
 
 edges: (package, src, dst, kind) with kind DDG or CFG, or (package, src, dst, attrs) with all labels of a pair.
-Sorting, joining and grouping are Catalyst's; only walks of unbounded depth are not. Those run package by package,
-with all edges of a package in one task, which the package's own graph bounds. Packages with more than `large` edges
-go through a loop of joins instead, with a table written after each round, so no single package has to fit in a task.
+Sorting, joining and grouping are Catalyst's; only walks of unbounded depth are not. Those run package by package, over
+typed Arrow columns. A package with more than `large` edges is walked by several tasks, each with all of its edges and a
+share of the nodes that walks start from, so results do not depend on its size. Where a package's edges don't fit in a
+task, contract_by_joins() and closure_by_joins() walk by joins, with a table written after each round.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import Tables, ship
 
-#: Edges of a package up to which one task walks it.
+#: Edges of a package for each task that walks it.
 LARGE = 200_000
 # Labels of dependence edges that say nothing.
 EMPTY_LABELS = ("DDG: ", "CDG: ", "DDG: this")
@@ -173,37 +175,206 @@ def _arrow(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _successors(edges: list[dict], kind: str | None = None) -> dict[int, list[int]]:
+#: Columns of the tables of a package, by name of the table and of the column.
+Held = dict[str, dict[str, list]]
+
+
+def walked(tables: dict[str, DataFrame], walk: Callable[[Held, int, int], dict[str, list]], schema: str, large: int | None = LARGE) -> DataFrame:
+    """walk(columns of each table, share, shares) for each package and share; its columns, with the package, make the result.
+
+    A package with more than `large` rows of the table edges is dealt to several tasks as shares 0 to shares - 1, all
+    with all of its rows. One shuffle serves all tables.
+    """
+    from pyspark.sql.types import _parse_datatype_string
+
+    first = next(iter(tables.values()))
+    ship(first.sparkSession)
+    kinds = {name: df.drop("package").schema for name, df in tables.items()}
+    parts = [df.select("package", F.lit(i).alias("t"), *(F.struct(*kinds[n].names).alias(n) if n == name else F.lit(None).cast(kinds[n]).alias(n) for n in tables)) for i, (name, df) in enumerate(tables.items())]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    keys = ["package"]
+    if large is not None:
+        heavy = tables["edges"].groupBy("package").count().filter(F.col("count") > large).select("package", F.ceil(F.col("count") / large).cast("int").alias("shares"))
+        rows = rows.join(heavy, "package", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+        keys = ["package", "share"]
+    out_schema = _parse_datatype_string(schema)
+    full = type(out_schema)([*out_schema.fields]).add("package", rows.schema["package"].dataType)
+    names, arrow = list(tables), _arrow(full)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        held: Held = {}
+        which = table.column("t")
+        for i, name in enumerate(names):
+            own = table.column(name).filter(pa.compute.equal(which, i)).combine_chunks()
+            held[name] = {f.name: own.field(k).to_pylist() for k, f in enumerate(own.type)}
+        share, shares = (key[1].as_py(), table.column("shares")[0].as_py() or 1) if len(key) > 1 else (0, 1)
+        out = walk(held, share, shares)
+        n = len(next(iter(out.values())))
+        return pa.Table.from_arrays([*(pa.array(out[f.name], f.type) for f in arrow if f.name != "package"), pa.array([key[0].as_py()] * n, arrow.field("package").type)], schema=arrow)
+
+    return rows.groupBy(*keys).applyInArrow(run, full).select("package", *[f.name for f in out_schema.fields])
+
+
+def _after(src: list[int], dst: list[int], keep: Iterable[bool] | None = None) -> dict[int, list[int]]:
     out: dict[int, list[int]] = defaultdict(list)
-    for e in edges:
-        if kind is None or e["kind"] == kind:
-            out[e["src"]].append(e["dst"])
+    for a, b, k in zip(src, dst, keep if keep is not None else [True] * len(src), strict=True):
+        if k:
+            out[a].append(b)
+    return out
+
+
+def _reached(starts: Iterable[int], after: dict[int, list[int]], within: set[int] | None = None, barred: Iterable[int] = ()) -> set[int]:
+    """What the starts reach, themselves included, through nodes `within` that aren't barred."""
+    barred = set(barred)
+    seen = {n for n in starts if n not in barred and (within is None or n in within)}
+    queue = list(seen)
+    while queue:
+        for n in after.get(queue.pop(), ()):
+            if n not in seen and n not in barred and (within is None or n in within):
+                seen.add(n)
+                queue.append(n)
+    return seen
+
+
+def cycles(nodes: Iterable[int], after: dict[int, list[int]]) -> dict[int, int]:
+    """Node to component, of the nodes in strongly connected components of several nodes."""
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack: list[int] = []
+    on_stack: set[int] = set()
+    out: dict[int, int] = {}
+    for start in nodes:
+        if start in number:
+            continue
+        work = [(start, iter(after.get(start, ())))]
+        number[start] = low[start] = len(number)
+        stack.append(start)
+        on_stack.add(start)
+        while work:
+            node, rest = work[-1]
+            n = next(rest, None)
+            if n is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = []
+                    while True:
+                        members.append(stack.pop())
+                        on_stack.discard(members[-1])
+                        if members[-1] == node:
+                            break
+                    if len(members) > 1:
+                        out.update(dict.fromkeys(members, node))
+            elif n not in number:
+                number[n] = low[n] = len(number)
+                stack.append(n)
+                on_stack.add(n)
+                work.append((n, iter(after.get(n, ()))))
+            elif n in on_stack:
+                low[node] = min(low[node], number[n])
     return out
 
 
-def contract_package(held: dict[str, list[dict]]) -> Iterable[dict]:
-    """X2, X3, X5 of one package: contracted edges of its sensitive nodes, with the inner nodes of DDG paths."""
-    sensitive = {n["node"] for n in held["nodes"] if n["sensitive"]}
-    ddg, every = _successors(held["edges"], "DDG"), _successors(held["edges"])
+def _path_through(a: int, v: int, b: int, after: dict[int, list[int]], members: set[int]) -> set[int] | None:
+    """Nodes of a simple path from a over v to b within members, or None."""
+    trail, on_trail = [a], {a}
+    stack = [iter([v] if a == v else after.get(a, ()))]
+    if a == v:
+        trail, on_trail = [], set()
+    while stack:
+        n = next(stack[-1], None)
+        if n is None:
+            stack.pop()
+            if trail:
+                on_trail.discard(trail.pop())
+        elif n in members and n not in on_trail and n != (b if v != b else None):
+            if n == v:
+                way = _way(v, b, after, members, on_trail)
+                if way is not None:
+                    return on_trail | way
+            elif v in _reached([n], after, members, on_trail):
+                trail.append(n)
+                on_trail.add(n)
+                stack.append(iter(after.get(n, ())))
+    return None
+
+
+def _way(a: int, b: int, after: dict[int, list[int]], members: set[int], barred: set[int]) -> set[int] | None:
+    """Nodes of a shortest path from a to b within members, or None."""
+    came, queue = {a: a}, [a]
+    for node in queue:
+        if node == b:
+            out = {b}
+            while node != a:
+                node = came[node]
+                out.add(node)
+            return out
+        for n in after.get(node, ()):
+            if n in members and n not in came and n not in barred:
+                came[n] = node
+                queue.append(n)
+    return None
+
+
+def _between(a: int, b: int, after: dict[int, list[int]], before: dict[int, list[int]], members: set[int]) -> set[int]:
+    """Nodes on simple paths from a to b within one strongly connected component."""
+    if a == b:
+        return {a}
+    open_ = (_reached([a], after, members, [b]) & _reached([b], before, members, [a])) | {a, b}
+    open_ |= {n for n in _reached([a], after, members, [b]) if b in after.get(n, ()) and n != a}
+    found: set[int] = set()
+    for v in sorted(open_):
+        if v not in found:
+            found |= _path_through(a, v, b, after, members) or set()
+    return found
+
+
+def contract_walk(held: Held, share: int = 0, shares: int = 1) -> dict[str, list]:
+    """X2, X3, X5 of one package: contracted edges of its sensitive nodes, with the inner nodes of DDG paths.
+
+    Which nodes a node reaches is a plain search. An inner node is one that is reached and from which the end is
+    reached. That settles nodes on no cycle. Within a cycle there must also be a simple path from where walks enter its
+    component, over the node, to where they leave it.
+    """
+    edges, out = held["edges"], {"src": [], "dst": [], "kind": [], "inner": []}
+    sensitive = {n for n, s in zip(held["nodes"]["node"], held["nodes"]["sensitive"], strict=True) if s}
+    every, ddg = _after(edges["src"], edges["dst"]), _after(edges["src"], edges["dst"], (k == "DDG" for k in edges["kind"]))
+    after = {n: [m for m in to if m not in sensitive] for n, to in ddg.items() if n not in sensitive}
+    before = _after([n for to in after.values() for n in to], [m for m, to in after.items() for _ in to])
+    component = cycles(list(after), after)
+    members: dict[int, set[int]] = defaultdict(set)
+    for n, c in component.items():
+        members[c].add(n)
+    known: dict[tuple[int, int], set[int]] = {}
+
+    def inner(start: int, end: int, reached: set[int], last: set[int]) -> list[int]:
+        """last: reached nodes with an edge to the end."""
+        back = _reached(last, before, reached)
+        found = {n for n in back if n not in component}
+        for c in {component[n] for n in back if n in component}:
+            own = members[c]
+            into = [n for n in own & reached if n in ddg[start] or any(m in reached and component.get(m) != c for m in before.get(n, ()))]
+            outof = [n for n in own & back if n in last or any(m in back and component.get(m) != c for m in after.get(n, ()))]
+            for a in into:
+                for b in outof:
+                    if (a, b) not in known:
+                        known[a, b] = _between(a, b, after, before, own)
+                    found |= known[a, b]
+        return sorted(found)
+
     for s in sorted(sensitive):
-        reached: dict[int, set[int]] = {}
-        trail: list[int] = []
-        on_trail = {s}
-        stack = [iter(ddg.get(s, ()))]
-        while stack:  # all simple paths through plain nodes
-            node = next(stack[-1], None)
-            if node is None:
-                stack.pop()
-                if trail:
-                    on_trail.discard(trail.pop())
-            elif node in sensitive:
-                reached.setdefault(node, set()).update(trail)
-            elif node not in on_trail:
-                trail.append(node)
-                on_trail.add(node)
-                stack.append(iter(ddg.get(node, ())))
-        for t, inner in sorted(reached.items()):
-            yield {"src": s, "dst": t, "kind": "DDG", "inner": sorted(inner)}
+        if hash(s) % shares != share:
+            continue
+        reached = _reached((n for n in ddg.get(s, ()) if n not in sensitive), after)
+        ends: dict[int, set[int]] = {n: set() for n in ddg.get(s, ()) if n in sensitive}
+        for n in reached:
+            for m in ddg.get(n, ()):
+                if m in sensitive:
+                    ends.setdefault(m, set()).add(n)
+        rows = [(t, "DDG", inner(s, t, reached, last)) for t, last in sorted(ends.items())]
         seen, queue = {s}, list(every.get(s, ()))
         while queue:
             node = queue.pop()
@@ -212,29 +383,32 @@ def contract_package(held: dict[str, list[dict]]) -> Iterable[dict]:
             seen.add(node)
             if node not in sensitive:
                 queue += every.get(node, ())
-            elif node not in reached:
-                yield {"src": s, "dst": node, "kind": "CFG", "inner": None}
+            elif node not in ends:
+                rows.append((node, "CFG", None))
+        out["src"] += [s] * len(rows)
+        for c, values in zip(("dst", "kind", "inner"), zip(*rows, strict=True), strict=False):
+            out[c] += values
+    return out
 
 
-def contract(nodes: DataFrame, edges: DataFrame, tables: Tables | None = None, large: int = LARGE) -> DataFrame:
+def contract(nodes: DataFrame, edges: DataFrame, large: int = LARGE) -> DataFrame:
     """(package, src, dst, kind, inner) between sensitive nodes.
 
     A DDG edge stands for a path of DDG edges whose inner nodes are all plain; inner has those of all such simple
     paths, and a node may reach itself. Else a CFG edge stands for a path of any edges through plain nodes.
-    nodes: (package, node, sensitive). inner is null for CFG edges, and for those of packages that go by joins.
+    nodes: (package, node, sensitive). inner is null for CFG edges.
     """
-    schema = "src long, dst long, kind string, inner array<long>"
+    tables = {"nodes": nodes.select("package", "node", "sensitive"), "edges": edges.select("package", "src", "dst", "kind")}
+    return walked(tables, contract_walk, "src long, dst long, kind string, inner array<long>", large)
+
+
+def contract_by_joins(nodes: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame:
+    """X2-X4 without a task that holds a package: (package, src, dst, kind), without inner nodes."""
     n, e = nodes.select("package", "node", "sensitive"), edges.select("package", "src", "dst", "kind")
-    if tables is None:
-        return by_package({"nodes": n, "edges": e}, contract_package, schema)
-    heavy = tables.keep(e.groupBy("package").count().filter(F.col("count") > large).select("package"), "large")
-    small = by_package({"nodes": n.join(heavy, "package", "left_anti"), "edges": e.join(heavy, "package", "left_anti")}, contract_package, schema)
-    n, e = n.join(heavy, "package", "left_semi"), e.join(heavy, "package", "left_semi")
     marked = n.filter("sensitive").select("package", "node")
     ddg = reach_by_joins(marked, e.filter("kind = 'DDG'"), marked, tables).select("package", "src", "dst")
     cfg = reach_by_joins(marked, e, marked, tables).filter("src <> dst").select("package", "src", "dst").join(ddg, ["package", "src", "dst"], "left_anti")
-    none = F.lit(None).cast("array<long>").alias("inner")
-    return small.unionByName(ddg.select("package", "src", "dst", F.lit("DDG").alias("kind"), none)).unionByName(cfg.select("package", "src", "dst", F.lit("CFG").alias("kind"), none))
+    return ddg.withColumn("kind", F.lit("DDG")).unionByName(cfg.withColumn("kind", F.lit("CFG")))
 
 
 def reach_by_joins(sources: DataFrame, edges: DataFrame, stops: DataFrame | None, tables: Tables) -> DataFrame:
@@ -256,34 +430,88 @@ def reach_by_joins(sources: DataFrame, edges: DataFrame, stops: DataFrame | None
     return out.select("package", "src", F.col("at").alias("dst"))
 
 
-def closure_package(held: dict[str, list[dict]]) -> Iterable[dict]:
+def closure_walk(held: Held, share: int = 0, shares: int = 1) -> dict[str, list]:
     """X8 of one package: pairs of different nodes, by kind."""
-    for kind, after in (("CFG", _successors(held["edges"])), ("DDG", _successors(held["edges"], "DDG"))):
+    edges, out = held["edges"], {"src": [], "dst": [], "kind": []}
+    for kind, after in (("CFG", _after(edges["src"], edges["dst"])), ("DDG", _after(edges["src"], edges["dst"], (k == "DDG" for k in edges["kind"])))):
         for s in sorted(after):
-            seen, queue = {s}, list(after[s])
-            while queue:
-                node = queue.pop()
-                if node not in seen:
-                    seen.add(node)
-                    queue += after.get(node, ())
-            for t in sorted(seen - {s}):
-                yield {"src": s, "dst": t, "kind": kind}
-
-
-def closure(edges: DataFrame, tables: Tables | None = None, large: int = LARGE) -> DataFrame:
-    """(package, src, dst, kind): DDG where a path of DDG edges leads, CFG where any path does; src differs."""
-    e = edges.select("package", "src", "dst", "kind")
-    if tables is None:
-        return by_package({"edges": e}, closure_package, "src long, dst long, kind string")
-    heavy = tables.keep(e.groupBy("package").count().filter(F.col("count") > large).select("package"), "large")
-    out = by_package({"edges": e.join(heavy, "package", "left_anti")}, closure_package, "src long, dst long, kind string")
-    e = e.join(heavy, "package", "left_semi")
+            if hash(s) % shares == share:
+                ends = sorted(_reached([s], after) - {s})
+                out["src"] += [s] * len(ends)
+                out["dst"] += ends
+                out["kind"] += [kind] * len(ends)
+    return out
+
+
+def closure(edges: DataFrame, large: int = LARGE) -> DataFrame:
+    """(package, src, dst, kind): DDG where a path of DDG edges leads, CFG where any path does; src differs.
+
+    All pairs: patterns that name classes ask typed_closure() for theirs alone.
+    """
+    return walked({"edges": edges.select("package", "src", "dst", "kind")}, closure_walk, "src long, dst long, kind string", large)
+
+
+Wanted = set[tuple[str, str, str]]
+_TYPED = "src long, dst long, kind string, src_class string, dst_class string"
+
+
+def _typed_walk(held: Held, wanted: Wanted, share: int, shares: int) -> dict[str, list]:
+    edges, out = held["edges"], {"src": [], "dst": [], "kind": [], "src_class": [], "dst_class": []}
+    own = dict(zip(held["nodes"]["node"], held["nodes"]["class"], strict=True))
+    for kind in ("CFG", "DDG"):
+        tails: dict[str, set[str]] = defaultdict(set)
+        for k, head, tail in wanted:
+            if k == kind:
+                tails[head].add(tail)
+        after = _after(edges["src"], edges["dst"], None if kind == "CFG" else (k == "DDG" for k in edges["kind"])) if tails else {}
+        for s in sorted(after):
+            if own.get(s) in tails and hash(s) % shares == share:
+                ends = sorted(n for n in _reached([s], after) - {s} if own.get(n) in tails[own[s]])
+                for c, values in (("src", [s] * len(ends)), ("dst", ends), ("kind", [kind] * len(ends)), ("src_class", [own[s]] * len(ends)), ("dst_class", [own[n] for n in ends])):
+                    out[c] += values
+    return out
+
+
+def typed_closure(edges: DataFrame, nodes: DataFrame, wanted: Wanted, large: int = LARGE) -> DataFrame:
+    """X8 for patterns: (package, src, dst, kind, src_class, dst_class) of the wanted (kind, head class, tail class) alone.
+
+    nodes: (package, node, class).
+    """
+    tables = {"nodes": nodes.select("package", "node", "class"), "edges": edges.select("package", "src", "dst", "kind")}
+    return walked(tables, lambda held, share, shares: _typed_walk(held, wanted, share, shares), _TYPED, large)
+
+
+def contracted_pairs(nodes: DataFrame, edges: DataFrame, wanted: Wanted) -> DataFrame:
+    """typed_closure() of contract(), in one walk and one shuffle. nodes: (package, node, class, sensitive)."""
+
+    def both(held: Held, share: int, shares: int) -> dict[str, list]:
+        return _typed_walk({"nodes": held["nodes"], "edges": contract_walk(held)}, wanted, share, shares)
+
+    tables = {"nodes": nodes.select("package", "node", "class", "sensitive"), "edges": edges.select("package", "src", "dst", "kind")}
+    return walked(tables, both, _TYPED)
+
+
+def closure_by_joins(edges: DataFrame, tables: Tables) -> DataFrame:
+    """X8 without a task that holds a package."""
+    e, out = edges.select("package", "src", "dst", "kind"), None
     for kind, part in (("CFG", e), ("DDG", e.filter("kind = 'DDG'"))):
         pairs = reach_by_joins(part.select("package", F.col("src").alias("node")).distinct(), part, None, tables)
-        out = out.unionByName(pairs.filter("src <> dst").withColumn("kind", F.lit(kind)))
+        pairs = pairs.filter("src <> dst").withColumn("kind", F.lit(kind))
+        out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
+def path_nodes(contracted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (package, src, dst) with inner, the nodes on the paths that their contracted DDG edge stands for."""
+    known = contracted.filter("kind = 'DDG'").select("package", "src", "dst", "inner")
+    return pairs.join(known, ["package", "src", "dst"])
+
+
+def class_lists(nodes: DataFrame) -> DataFrame:
+    """(package, classes): (node, class) of a package's nodes (package, node, class), in order."""
+    return nodes.groupBy("package").agg(F.array_sort(F.collect_list(F.struct("node", "class"))).alias("classes"))
+
+
 def split_categories(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A node with several categories becomes a DDG chain (node, 0), (node, 1), ...
 
@@ -304,23 +532,16 @@ def strongest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("package", "src", "dst").agg(F.max("kind").alias("kind"))
 
 
-def backward_slice_package(held: dict[str, list[dict]]) -> Iterable[dict]:
-    before: dict[int, list[int]] = defaultdict(list)
-    for e in held["background"]:
-        before[e["dst"]].append(e["src"])
-    background = {n for e in held["background"] for n in (e["src"], e["dst"])}
-    own = {n["node"] for n in held["nodes"]}
-    queue = [e["src"] for e in held["edges"] if e["src"] not in own and e["src"] in background]
-    seen: set[int] = set()
-    while queue:
-        node = queue.pop()
-        if node not in seen:
-            seen.add(node)
-            queue += before.get(node, ())
-    for node in sorted(seen):
-        yield {"node": node, "src": None}
-        for src in sorted(set(before.get(node, ()))):
-            yield {"node": node, "src": src}
+def backward_walk(held: Held, share: int = 0, shares: int = 1) -> dict[str, list]:
+    """B9 of one package."""
+    background, edges, out = held["background"], held["edges"], {"node": [], "src": []}
+    before = _after(background["dst"], background["src"])
+    known, own = {*background["src"], *background["dst"]}, set(held["nodes"]["node"])
+    for node in sorted(_reached((n for n in edges["src"] if n not in own and n in known), before)):
+        sources = [None, *sorted(set(before.get(node, ())))]
+        out["node"] += [node] * len(sources)
+        out["src"] += sources
+    return out
 
 
 def backward_slice(nodes: DataFrame, edges: DataFrame, background: DataFrame) -> DataFrame:
@@ -330,7 +551,7 @@ def backward_slice(nodes: DataFrame, edges: DataFrame, background: DataFrame) ->
     background come along. Rows with src are edges src - node, rows without are nodes.
     """
     tables = {"nodes": nodes.select("package", "node"), "edges": edges.select("package", "src", "dst"), "background": background.select("package", "src", "dst")}
-    return by_package(tables, backward_slice_package, "node long, src long")
+    return walked(tables, backward_walk, "node long, src long", None)
 
 
 # --- graph views over event tables

@@ -116,6 +116,11 @@ def is_sub_pattern(p: Pattern, q: Pattern, first_edge_only: bool = True) -> bool
     return all(h in q.after and pattern_reaches(q, h, t, k, first_edge_only) for h, out in p.after.items() for k, t in out)
 
 
+def wanted(patterns: list[Pattern]) -> set[tuple[str, str, str]]:
+    """(kind, head class, tail class) of all edges that matches must satisfy: what a closure has to find."""
+    return {(k, h, t) for p in patterns for h, k, t in p.required()}
+
+
 def typed_pairs(reach: DataFrame, nodes: DataFrame) -> DataFrame:
     """Reachable pairs (package, src, dst, kind) with the classes of their ends. nodes: (package, node, class)."""
     ends = nodes.select("package", "node", "class")
@@ -127,7 +132,7 @@ def typed_pairs(reach: DataFrame, nodes: DataFrame) -> DataFrame:
 def match(pattern: Pattern, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """M3, M4: (package, n0, n1, ...): a node for each class of the pattern, in the order of pattern.classes.
 
-    pairs: as typed_pairs() gives them. Each edge is one filter of the pairs; edges join on the package and on the
+    pairs: as typed_pairs() or graph.typed_closure() give them. Each edge is one filter of the pairs; edges join on the package and on the
     classes that they share, so a pattern of one edge needs no join at all.
     """
     column = {c: f"n{i}" for i, c in enumerate(pattern.classes)}

@@ -89,3 +89,14 @@ def log_level(value: Column) -> Column:
     """The log level of a status; a program error is an error, not silence."""
     level = F.when(value.isin("Malicious", "Obfuscation"), "CRITICAL").when(value == "Code not Exist", "WARNING").when(value == "Program Error", "ERROR")
     return F.when(value.isNotNull(), F.coalesce(level, F.lit("INFO")))
+
+
+def log_lines(statuses: DataFrame) -> DataFrame:
+    """(package, level, message) of packages with a status."""
+    return statuses.filter(F.col("status").isNotNull()).select("package", log_level(F.col("status")).alias("level"), F.concat(F.col("package").cast("string"), F.lit(": "), "status").alias("message"))
+
+
+def write_log(statuses: DataFrame, path: str, overwrite: bool = True) -> None:
+    """The lines as text files."""
+    text = log_lines(statuses).select(F.concat_ws(" ", "level", "message").alias("value"))
+    text.write.mode("overwrite" if overwrite else "append").text(path)

@@ -82,12 +82,19 @@ def local_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 def aliases(bindings: DataFrame, tables) -> DataFrame:  # noqa: ANN001
     """Bindings (id, alias_of, ...) with root, the binding at the end of each chain of x = y assignments.
 
-    Pointers are doubled, so a chain of n takes log n joins; each round is written to tables.
+    Pointers are doubled, so a chain of n takes log n joins; each round is written to tables. On a cycle there is no
+    end: all bindings that lead into one have its smallest id as root. As many rounds as the number of bindings has
+    bits settle both.
     """
-    step = tables.keep(bindings.select("id", F.coalesce("alias_of", "id").alias("root")), "alias")
-    while True:
-        after = tables.keep(step.alias("a").join(step.alias("b"), F.col("a.root") == F.col("b.id"), "left").select(F.col("a.id").alias("id"), F.coalesce("b.root", "a.root").alias("root")), "alias")
-        moved = after.join(step.withColumnRenamed("root", "was"), "id").filter("root <> was").limit(1).count()
-        step = after
-        if not moved:
-            return bindings.join(step, "id")
+    step = bindings.select("id", F.coalesce("alias_of", "id").alias("to"), F.coalesce("alias_of", "id").alias("low"))
+    step = tables.keep(step.withColumn("low", F.least("id", "low")), "alias")  # low: the least id from here to the pointer's end
+    rounds = step.count().bit_length()
+    for _ in range(rounds):
+        a, b = step.alias("a"), step.alias("b")
+        step = tables.keep(a.join(b, F.col("a.to") == F.col("b.id"), "left").select(F.col("a.id").alias("id"), F.coalesce("b.to", "a.to").alias("to"), F.least("a.low", "b.low").alias("low")), "alias")
+        if not step.join(step.select(F.col("id").alias("to"), F.col("to").alias("then")), "to").filter("to <> then").limit(1).count():
+            break
+    # pointers have reached the end of their chain or gone all round their cycle, so the least id from there on is the root
+    ends = step.select(F.col("id").alias("end"), F.col("low").alias("least"))
+    done = step.join(ends, F.col("to") == F.col("end"), "left").select("id", F.coalesce("least", "to").alias("root"))
+    return bindings.join(done, "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark's forests are at most this deep.
@@ -35,6 +35,11 @@ def score(features: DataFrame, model: RandomForestClassificationModel, threshold
     return out.select(*features.columns, F.col("p").alias("probability"), predicted(F.col("p"), threshold).alias("predicted"))
 
 
+def verdict(probability: Column, threshold: float = FILE_THRESHOLD) -> Column:
+    """Of a single file, by the threshold of files; a file without features has none."""
+    return F.when(probability.isNotNull(), predicted(probability, threshold))
+
+
 def votes(scored: DataFrame, model: RandomForestClassificationModel, threshold: float = SCORER_THRESHOLD) -> DataFrame:
     """Scored with agreeing, the trees whose own thresholded verdict is the forest's, and trees."""
     out = scored.withColumn("agreeing", F.lit(0))
@@ -59,3 +64,13 @@ def obfuscated_packages(files: DataFrame) -> DataFrame:
     bad = F.col("predicted") == "malicious"
     listed = F.array_sort(F.collect_set(F.when(bad & F.col("path").endswith(".js"), F.col("path"))))
     return files.groupBy("package").agg(listed.alias("files")).select("package", (F.size("files") > 0).alias("obfuscated"), "files")
+
+
+def save_features(features: DataFrame, path: str) -> None:
+    """Features with names and labels, as Parquet."""
+    features.write.mode("overwrite").parquet(path)
+
+
+def score_saved(spark: SparkSession, path: str, model: RandomForestClassificationModel, threshold: float = SCORER_THRESHOLD) -> DataFrame:
+    """O13 on saved features."""
+    return score(spark.read.parquet(path), model, threshold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import behaviour, graph, match, report
+from tessera.operators import behaviour, graph, match, report, scoring
 from tessera.session import Tables
 
 
@@ -32,8 +32,8 @@ def findings(rows: DataFrame, patterns: list[match.Pattern], arguments: DataFram
     arguments: (package, node, value) by package name and node.
     """
     nodes, contracted = sensitive_graph(rows, tables)
-    reach = graph.closure(contracted)
-    found = tables.keep(match.matches(patterns, match.typed_pairs(reach, nodes), nodes), "matches")
+    pairs = tables.keep(graph.typed_closure(contracted, nodes, match.wanted(patterns)), "pairs")
+    found = tables.keep(match.matches(patterns, pairs, nodes), "matches")
     kept = match.kept_patterns(found.select("package", "ord").distinct(), patterns)
     counted = found.join(kept, ["package", "ord"])
     own = nodes.select("package", "node", F.col("package.package").alias("p"), F.floor(F.col("node") / 100).cast("long").alias("n"))
@@ -44,3 +44,40 @@ def findings(rows: DataFrame, patterns: list[match.Pattern], arguments: DataFram
     order = F.struct(F.array_position(F.array(*(F.lit(p) for p in report.PHASES)), phase), F.col("package.root"), F.col("ord"), F.hash("places"))
     flat = placed.select(F.col("package.package").alias("name"), phase.alias("phase"), F.col("maliciousness").alias("description"), order.alias("ord"), "pattern_desc", "places")
     return report.distinct_findings(flat.withColumnRenamed("name", "package"))
+
+
+def package_facts(packages: DataFrame, files: DataFrame, cpg_nodes: DataFrame, methods: DataFrame, scripts: DataFrame, found: DataFrame, predicted: DataFrame, errors: DataFrame) -> DataFrame:
+    """What the status of each package depends on, from the tables of the steps before.
+
+    files: (package, path, ...); cpg_nodes, methods, found: (package, ...) of graphs, usable methods and findings;
+    scripts: install_scripts(); predicted: (package, path, predicted) of scored files; errors: (package, error).
+    One shuffle on the package serves all facts.
+    """
+    bad_script = (F.col("script.script_type") == "Shell Command") & F.col("script.malicious")
+    holds = {
+        "code_exists": files,
+        "has_js": files.filter(F.col("path").endswith(".js")),
+        "manifest_exists": files.filter(F.col("path") == "package/package.json"),
+        "exported": cpg_nodes,
+        "has_graph": methods,
+        "obfuscated": scoring.obfuscated_packages(predicted).filter("obfuscated"),
+        "malicious_script": scripts.filter(bad_script),
+        "malicious": found,
+    }
+    flags = None
+    for name, df in holds.items():
+        part = df.select("package", F.lit(name).alias("fact"))
+        flags = part if flags is None else flags.unionByName(part)
+    told = flags.groupBy("package").agg(*(F.bool_or(F.col("fact") == n).alias(n) for n in holds))
+    wrong = errors.groupBy("package").agg(F.min("error").alias("error"))
+    rows = packages.select("package").distinct().join(told, "package", "left").join(wrong, "package", "left")
+    return rows.select("package", *(F.coalesce(n, F.lit(False)).alias(n) for n in holds), "error").withColumn("malicious", F.col("malicious") | F.col("malicious_script"))
+
+
+def verdicts(facts: DataFrame, found: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(package, status, level, report) of all packages. A report is of packages whose code was analysed."""
+    bad = scripts.filter((F.col("script.script_type") == "Shell Command") & F.col("script.malicious"))
+    entries = bad.select("package", "phase", F.col("script.shell_command_description").alias("desc"), "ord")
+    told = report.report(facts.select("package"), found, entries)
+    rows = report.status(facts).join(told, "package")
+    return rows.select("package", "status", report.log_level(F.col("status")).alias("level"), F.when(F.col("status").isin("Benign", "Malicious"), F.col("report")).alias("report"))

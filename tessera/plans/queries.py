@@ -1,7 +1,8 @@
 """Registered queries over the driver tables, each with its SQL where SQL can express it.
 
 Functions of strings are applied to a column of written-out cases, dealt over the rows of events; their SQL holds the
-answers worked out by hand. All other queries run over whole tables.
+answers worked out by hand. So do queries over one constant package. All others derive their answers from whole tables;
+more of those are in data_queries.
 """
 
 from __future__ import annotations
@@ -13,26 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import features, text
 from tessera.operators import graph, kb, match, report, resolve
+from tessera.plans.registry import query, table
 from tessera.session import Tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- string functions on written-out cases
 
 
@@ -209,7 +193,7 @@ def x2_x3_contraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x2_x3_contraction_by_joins", f"WITH RECURSIVE {_CONTRACTED} SELECT package, src, dst, kind FROM sens")
 def x2_x3_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.contract(*_graph(spark, sf_dir), Tables(spark, "contract"), large=90).select("package", "src", "dst", "kind")
+    return graph.contract_by_joins(*_graph(spark, sf_dir), Tables(spark, "contract"))
 
 
 @query("x5_path_nodes", f"""WITH RECURSIVE {_EVENTS}, p(package, src, dst, inner_nodes) AS (SELECT x.package, x.src, x.dst, CAST([] AS BIGINT[]) FROM edges x JOIN e s ON s.package = x.package AND s.node = x.src AND s.sensitive WHERE x.kind = 'DDG'
@@ -277,12 +261,10 @@ PATTERNS = [
 ]
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _pairs(spark: SparkSession, sf_dir: str, patterns: list[match.Pattern]) -> tuple[DataFrame, DataFrame]:
     nodes, edges = _graph(spark, sf_dir)
     sens = nodes.filter("sensitive").select("package", "node", "class")
-    tables = Tables(spark, "match")
-    pairs = tables.keep(match.typed_pairs(graph.closure(graph.contract(nodes, edges)), sens), "pairs")
-    return pairs, sens
+    return graph.contracted_pairs(nodes, edges, match.wanted(patterns)), sens
 
 
 _TYPED = f"{_REACH}, t AS (SELECT r.*, h.class AS hc, g.class AS tc FROM reach r JOIN e h ON h.package = r.package AND h.node = r.src JOIN e g ON g.package = r.package AND g.node = r.dst)"
@@ -291,7 +273,8 @@ _P0 = "SELECT a.package, a.src AS signup, a.dst AS error, b.dst AS purchase FROM
 
 @query("m3_two_edge_pattern", f"WITH RECURSIVE {_TYPED} {_P0}")
 def m3_two_edge_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, nodes = _pairs(spark, sf_dir)
+    pairs, nodes = _pairs(spark, sf_dir, PATTERNS[:1])
+    pairs = Tables(spark, "match").keep(pairs, "pairs")  # several edges read them
     return match.match(PATTERNS[0], pairs, nodes).toDF("package", "signup", "error", "purchase")
 
 
@@ -304,7 +287,8 @@ UNION ALL SELECT DISTINCT a.package, 4 FROM t a JOIN t b ON b.package = a.packag
 OR (ord = 1 AND NOT EXISTS (SELECT 1 FROM m q WHERE q.package = m.package AND q.ord = 0)) OR (ord = 2 AND NOT EXISTS (SELECT 1 FROM m q WHERE q.package = m.package AND q.ord = 0))
 OR (ord = 3 AND NOT EXISTS (SELECT 1 FROM m q WHERE q.package = m.package AND q.ord IN (0, 2)))""")
 def m5_m7_rule_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, nodes = _pairs(spark, sf_dir)
+    pairs, nodes = _pairs(spark, sf_dir, PATTERNS)
+    pairs = Tables(spark, "match").keep(pairs, "pairs")
     found = match.matches(PATTERNS, pairs, nodes).select("package", "ord").distinct()
     return match.kept_patterns(found, PATTERNS)
 

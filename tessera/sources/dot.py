@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import HOOKS
+from tessera.functions.text import HOOKS, repair_dot_line
 from tessera.session import ship
 
 _TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|->|--|[\[\]{};,=]|[^\s\[\]{};,="]+|<[^>]*>', re.S)
@@ -68,10 +68,15 @@ def statements(text: str) -> Iterator[tuple[bool, str, str | None, dict[str, str
             seq += 1
 
 
+def repair_dot(text: Column) -> Column:
+    """A file with all lines repaired; no file gives none."""
+    return F.when(text.contains("DYNAMIC_TYPE_HINT_FULL_NAME"), F.array_join(F.transform(F.split(text, "\n"), repair_dot_line), "\n")).otherwise(text)
+
+
 def parse_dot(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Statements of DOT files: the key columns of files (..., text), then STATEMENTS."""
+    """Statements of DOT files: the key columns of files (..., text), then STATEMENTS. Lines are repaired first."""
     ship(files.sparkSession)
-    kept = files.select(*keys, "text")
+    kept = files.select(*keys, repair_dot(F.col("text")).alias("text"))
     schema = kept.drop("text").schema
     for f in _fields(STATEMENTS):
         schema = schema.add(f)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
-from tessera.operators import graph, match, report
+from tessera.operators import graph, match, report, resolve
 from tessera.session import Tables
 
 EDGES = "package int, src long, dst long, kind string"
@@ -80,10 +81,13 @@ def test_random_graphs_equal_brute_force(spark):
     got, joined, reach = {}, {}, {}
     for r in graph.contract(nodes, edges).collect():
         got.setdefault(r["package"], set()).add((r["src"], r["dst"], r["kind"], tuple(r["inner"]) if r["inner"] is not None else None))
-    for r in graph.contract(nodes, edges, Tables(spark, "test"), large=5).collect():
+    for r in graph.contract_by_joins(nodes, edges, Tables(spark, "test")).collect():
         joined.setdefault(r["package"], set()).add((r["src"], r["dst"], r["kind"]))
-    for r in graph.closure(edges, Tables(spark, "test"), large=5).collect():
+    for r in graph.closure_by_joins(edges, Tables(spark, "test")).collect():
         reach.setdefault(r["package"], set()).add((r["src"], r["dst"], r["kind"]))
+    shared = {(r["package"], r["src"], r["dst"], r["kind"], tuple(r["inner"] or ())) for r in graph.contract(nodes, edges, large=3).collect()}
+    assert shared == {(p, s, d, k, i or ()) for p, rows in got.items() for s, d, k, i in rows}
+    assert {tuple(r) for r in graph.closure(edges, large=3).collect()} == {(p, *r) for p, rows in reach.items() for r in rows}
     for p, (es, classes, _) in graphs.items():
         want = contracted(es, classes)
         assert got.get(p, set()) == want
@@ -91,6 +95,55 @@ def test_random_graphs_equal_brute_force(spark):
         assert reach.get(p, set()) == {(a, b, k) for k in ("CFG", "DDG") for a, b in reachable(es, k)}
 
 
+def test_dense_cycles_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(1500):
+        top = rng.randrange(2, 10)
+        pairs = {(rng.randrange(1, top + 1), rng.randrange(1, top + 1)) for _ in range(rng.randrange(1, 26))}
+        classes = {i: "a" for i in range(1, top + 1) if rng.random() < 0.3}
+        edges = [(s, d, rng.choice(["DDG", "DDG", "DDG", "CFG"])) for s, d in sorted(pairs)]
+        assert walk_of(edges, classes, top) == contracted(edges, classes)
+
+
+def walk_of(edges, classes, top):
+    held = {"nodes": {"node": list(range(1, top + 1)), "sensitive": [i in classes for i in range(1, top + 1)]}, "edges": {k: [e[i] for e in edges] for i, k in enumerate(("src", "dst", "kind"))}}
+    out = graph.contract_walk(held)
+    return {(*r, None if inner is None else tuple(inner)) for *r, inner in zip(out["src"], out["dst"], out["kind"], out["inner"], strict=True)}
+
+
+def test_many_paths_take_no_time():
+    n = 400  # 2 ** 400 paths
+    edges = [e for i in range(n) for a in [3 * i + 1] for e in ((a, a + 1, "DDG"), (a, a + 2, "DDG"), (a + 1, a + 3, "DDG"), (a + 2, a + 3, "DDG"))]
+    began = time.time()
+    assert walk_of(edges, {1: "a", 3 * n + 1: "a"}, 3 * n + 1) == {(1, 3 * n + 1, "DDG", tuple(range(2, 3 * n + 1)))}
+    assert time.time() - began < 5
+
+
+def test_typed_closure_is_part_of_the_closure(spark):
+    nodes, edges = tables(spark, random_graphs(40, 9))
+    sens = nodes.filter("sensitive").select("package", "node", "class")
+    wanted = {("CFG", "a", "b"), ("DDG", "b", "c"), ("DDG", "a", "a")}
+    every = match.typed_pairs(graph.closure(graph.contract(nodes, edges)), sens).select("package", "src", "dst", "kind", "src_class", "dst_class")
+    want = {tuple(r) for r in every.collect() if (r["kind"], r["src_class"], r["dst_class"]) in wanted}
+    assert {tuple(r) for r in graph.typed_closure(graph.contract(nodes, edges), sens, wanted, large=3).collect()} == want
+    assert {tuple(r) for r in graph.contracted_pairs(nodes, edges, wanted).collect()} == want
+
+
+def test_aliases_that_go_round_in_circles(spark):
+    rng = random.Random(4)
+    for n in (1, 7, 60):
+        after = {i: rng.choice([None, *range(n)]) for i in range(n)}
+        after |= {i: n + (i + 1 - n) % 5 for i in range(n, n + 5)} | {n + 5: n + 2, n + 6: 10_000}
+        rows = resolve.aliases(spark.createDataFrame(list(after.items()), "id long, alias_of long"), Tables(spark, "alias")).collect()
+        for r in rows:
+            seen, at = [], r["id"]
+            while at not in seen and after.get(at) is not None:
+                seen.append(at)
+                at = after[at]
+            assert r["root"] == (min(seen[seen.index(at) :]) if at in seen else at)
+        assert len(rows) == len(after)
+
+
 def test_unrelated_packages_and_names_do_not_matter(spark):
     graphs = random_graphs(20, 2)
     nodes, edges = tables(spark, graphs)
