@@ -1,6 +1,6 @@
 """Operator 9, licence scans by a positional rare-token index.
 
-Templates are short licence texts. Their words get inverse document frequencies over the templates, and each
+Templates are licence texts and the notices that stand for them. Their words get inverse document frequencies over the templates, and each
 template's rarest words become its postings: word -> (template, position). A file's words are looked up in the
 postings; a hit at word p for a posting at position q votes for a start at p - q, and votes that agree on template
 and start (within `slack` words) are one candidate. A candidate counts if its votes reach the least share of
@@ -10,7 +10,8 @@ is by relative position, tolerates changed words, and never compares a file with
 Files are scanned as UTF-8 bytes, batch by batch: words and their hashes are found with numpy, so a file
 without any rare word costs one table look-up for each word and no Python object.
 
-Base phrases are found by the same postings with slack 0 and every word mandatory: their exact places.
+Base phrases are found by the same postings with slack 0 and every word mandatory: their exact places, compared by
+their bytes.
 
 Defined results: null and empty texts have no words, null positions, no labels and score 0; rows with equal
 doc_id keep a row each; an empty table gives no rows; further columns are ignored.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,7 +53,47 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        ("permission is hereby granted free of charge", "sublicense"),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ("with or without fee is hereby granted", "disclaims all warranties"),
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ("redistribution and use in source and binary forms", "must retain the above copyright notice"),
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ("apache license", "unless required by applicable law"),
+    ),
+    (
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        ("general public license", "version 3 of the license"),
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software", "public domain"),
+    ),
 ]
+#: Templates that a table may have: all of them go to every task.
+MOST_TEMPLATES = 20_000
+
+
+def read_templates(table: DataFrame, most: int = MOST_TEMPLATES) -> list[tuple[str, str, tuple[str, ...]]]:
+    """Templates from a table (label, text, phrases array<string>), beside or instead of the built-in ones."""
+    rows = table.select("label", "text", "phrases").orderBy("label", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of templates may have {most} rows")
+    return [(r["label"], r["text"] or "", tuple(r["phrases"] or ())) for r in rows if (r["text"] or "").strip()]
 
 
 def keys(phrase: str) -> np.ndarray:
@@ -67,6 +108,7 @@ class Template:
     words: np.ndarray
     rare: list[int]  # positions of the postings
     phrases: list[np.ndarray]
+    text: str
 
 
 @dataclass
@@ -79,20 +121,20 @@ class Index:
 
     @staticmethod
     def build(templates: list[tuple[str, str, tuple[str, ...]]], rarest: int = 6) -> Index:
-        cut = [(label, keys(text), [keys(p) for p in phrases]) for label, text, phrases in templates]
+        cut = [(label, keys(text), [keys(p) for p in phrases], text) for label, text, phrases in templates]
         df: dict[int, int] = defaultdict(int)
-        for _, w, _ in cut:
+        for _, w, _, _ in cut:
             for x in set(w.tolist()):
                 df[x] += 1
         idf = {x: math.log(len(cut) / n) for x, n in df.items()}
         out = Index([])
-        for label, w, phrases in cut:
+        for label, w, phrases, text in cut:
             must = {x for p in phrases for x in p.tolist()}
             order = sorted(range(len(w)), key=lambda i: (-(idf[int(w[i])] + (int(w[i]) in must)), i))
             rare = sorted(order[: min(rarest, len(order))])
             for i in rare:
                 out.postings[int(w[i])].append((len(out.templates), i))
-            out.templates.append(Template(label, w, rare, phrases))
+            out.templates.append(Template(label, w, rare, phrases, text))
         out.vocabulary = np.array(sorted(out.postings), np.uint64)
         return out
 
@@ -132,14 +174,14 @@ def _stands(key: np.ndarray, phrase: np.ndarray, low: int, high: int) -> int:
     return low + int(at[0]) if len(at) else -1
 
 
-def scan_file(key: np.ndarray, places: np.ndarray, base: Index, index: Index, slack: int, least: float) -> tuple[list[int], set[str], set[str], float]:
-    """Places of base phrases, their labels, the templates' labels, and the best share of a template."""
+def scan_file(key: np.ndarray, places: np.ndarray, base: Index, index: Index, slack: int, least: float, word: Callable[[int], bytes]) -> tuple[list[int], set[str], set[str], float]:
+    """Places of base phrases, their labels, the templates' labels, and the best share of a template. word: a word's bytes."""
     found, own = [], set()
     for t, start, share in base.candidates(key, places, 0):
-        w = base.templates[t].words
-        if share == 1 and _stands(key, w, start, start) == start:
+        template = base.templates[t]
+        if share == 1 and _stands(key, template.words, start, start) == start and all(word(start + i) == x for i, x in enumerate(template.text.encode().split())):
             found.append(start)
-            own.add(base.templates[t].label)
+            own.add(template.label)
     labels, best = set(), 0.0
     for t, start, share in index.candidates(key, places, slack):
         template = index.templates[t]
@@ -176,7 +218,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, tuple[str, ...]]] | No
                 out = {"n_words": np.diff(w.first), "n_base": [0] * n, "first_word": [None] * n, "last_word": [None] * n, "base_labels": [""] * n, "labels": [""] * n, "score": [0.0] * n}
                 for d in np.flatnonzero(np.diff(cut)).tolist():
                     places = hits[cut[d] : cut[d + 1]] - w.first[d]
-                    found, own, more, best = scan_file(w.key[w.of(d)], places, base, index, slack, least)
+                    found, own, more, best = scan_file(w.key[w.of(d)], places, base, index, slack, least, lambda i, o=int(w.first[d]): w.data[w.start[o + i] : w.end[o + i]].tobytes())
                     if found:
                         out["n_base"][d], out["first_word"][d], out["last_word"][d] = len(found), min(found), max(found)
                     out["base_labels"][d], out["labels"][d] = ",".join(sorted(own)), ",".join(sorted(own | more))

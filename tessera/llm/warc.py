@@ -6,11 +6,14 @@ response, headers that a 304 may update replace the stored ones, and the body is
 
 As-of join without a hot task: the time axis is cut at quantiles; each (URL, slice) is one group, and what earlier
 slices hand on is one row for each (URL, slice), found by a pre-aggregation. So the records of one URL spread over as
-many tasks as there are slices. Only ids travel; headers are joined at the end.
+many tasks as there are slices, and records of one time are one row before they meet. Only ids travel; headers are
+joined at the end, in a join that adaptive execution splits where very many revisits resolve to one response.
 
 Defined results: a null URL or time resolves to nothing (no_response); of responses at the same time the largest id
-counts, and a response at the revisit's own time is not earlier; repeated rows each keep a row; a revisit without
-validators is resolved by an equal payload digest, without that it is no_validator; an empty table gives no rows.
+counts, and a response at the revisit's own time is not earlier; rows with equal record_id each keep a row and are
+resolved by their own URL and time; of responses with one id the earliest is stored (then the smallest digest and
+headers); a revisit without validators is resolved by an equal payload digest, without that it is no_validator; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,11 +60,14 @@ def resolve(records: DataFrame, slices: int = 64) -> DataFrame:
     full = F.when((F.col("kind") == "response") & F.col("time").isNotNull(), F.struct("time", "record_id"))
     groups = slim.groupBy("u", "slice").agg(F.max(full).alias("last"), F.max(F.col("kind") == "revisit").alias("asks"))
     handed = groups.select("u", "slice", "asks", F.max("last").over(Window.partitionBy("u").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("handed")).filter("asks").select("u", "slice", "handed")
-    earlier = Window.partitionBy("u", "slice").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
-    own = slim.withColumn("own", F.max(full).over(earlier)).filter(F.col("kind") == "revisit")
-    pointed = own.join(handed, ["u", "slice"], "left").select("record_id", F.when(F.col("time").isNotNull() & F.col("u").isNotNull(), F.coalesce("own", "handed"))["record_id"].alias("response_id"))
-    revisits = log.filter(F.col("kind") == "revisit").join(pointed.dropDuplicates(["record_id"]), "record_id", "left")
-    stored = log.filter(F.col("kind") == "response").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload_digest").alias("stored_digest")).dropDuplicates(["response_id"])
+    earlier = Window.partitionBy("u", "slice").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    times = slim.filter(F.col("u").isNotNull() & F.col("time").isNotNull()).groupBy("u", "slice", "time").agg(F.max(full).alias("at"), F.max(F.col("kind") == "revisit").alias("asks"))
+    own = times.withColumn("own", F.max("at").over(earlier)).filter("asks")
+    pointed = own.join(handed, ["u", "slice"], "left").select("u", "time", F.coalesce("own", "handed")["record_id"].alias("response_id"))
+    revisits = log.filter(F.col("kind") == "revisit").join(pointed, ["u", "time"], "left")
+    order = F.struct("time", "payload_digest", F.to_json("headers").alias("h"))
+    first = log.filter(F.col("kind") == "response").groupBy(F.col("record_id").alias("response_id")).agg(F.min_by(F.struct("headers", "payload_digest"), order).alias("r"))
+    stored = first.select("response_id", F.col("r.headers").alias("stored"), F.col("r.payload_digest").alias("stored_digest"))
     # a revisit without a response has a join key of its own, so they don't meet in one task
     own_key = F.struct(F.col("response_id").isNull().alias("none"), F.coalesce("response_id", "record_id").alias("id"))
     its_key = F.struct(F.lit(False).alias("none"), F.col("response_id").alias("id"))
@@ -86,7 +92,7 @@ def resolve(records: DataFrame, slices: int = 64) -> DataFrame:
 def capture_log(pages: DataFrame) -> DataFrame:
     """A log of captures of pages: each page's response, a later revisit, and a revisit before the response.
 
-    One page in five has changed by its later revisit, one in seven sends a date instead of a tag.
+    One page in five has changed by its later revisit, one in seven sends a date instead of a tag, one in eleven nothing.
     """
     digest, day = F.md5(F.col("html").cast("binary")), F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
     tag = F.concat(F.lit('"'), digest, F.lit('"'))
@@ -102,7 +108,7 @@ def capture_log(pages: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     records = F.array(
         record(0, F.col("page_id") * 10, "response", stored, F.col("digest")),
-        record(1, F.col("page_id") * 10 + 1_000_003, "revisit", F.when(F.col("page_id") % 7 == 3, by_date).otherwise(by_tag), none),
+        record(1, F.col("page_id") * 10 + 1_000_003, "revisit", F.when(F.col("page_id") % 11 == 5, F.create_map(*small)).when(F.col("page_id") % 7 == 3, by_date).otherwise(by_tag), none),
         record(2, F.col("page_id") * 10 - 5, "revisit", F.create_map(*small), F.col("digest")),
     )
     return p.select(F.explode(records).alias("r")).select("r.*")
@@ -122,12 +128,12 @@ parts AS (SELECT page_id, digest, size, day, '"' || digest || '"' AS tag, regexp
     IF x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)=')]) AS q FROM bare),
 p AS (SELECT page_id, digest, size, day, tag, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u FROM parts),
 revisits AS (
-    SELECT page_id * 4 + 1 AS record_id, u, page_id * 10 + 1000003 AS t, CASE WHEN page_id % 7 <> 3 THEN CASE WHEN page_id % 5 = 4 THEN '"changed"' ELSE 'W/' || tag END END AS etag,
-        CASE WHEN page_id % 7 = 3 THEN day END AS modified, NULL AS digest FROM p
+    SELECT page_id * 4 + 1 AS record_id, u, page_id * 10 + 1000003 AS t, CASE WHEN page_id % 7 <> 3 AND page_id % 11 <> 5 THEN CASE WHEN page_id % 5 = 4 THEN '"changed"' ELSE 'W/' || tag END END AS etag,
+        CASE WHEN page_id % 7 = 3 AND page_id % 11 <> 5 THEN day END AS modified, NULL AS digest FROM p
     UNION ALL SELECT page_id * 4 + 2, u, page_id * 10 - 5, NULL, NULL, digest FROM p),
 ranked AS (SELECT r.*, s.page_id AS sid, s.tag AS stag, s.day AS sday, s.digest AS sdigest, s.size AS ssize,
     row_number() OVER (PARTITION BY r.record_id ORDER BY s.page_id DESC NULLS LAST) AS k FROM revisits r LEFT JOIN p s ON s.u = r.u AND s.page_id * 10 < r.t),
-judged AS (SELECT *, CASE WHEN sid IS NULL THEN 'no_response' WHEN coalesce(CASE WHEN etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = stag
+judged AS (SELECT *, CASE WHEN sid IS NULL THEN 'no_response' WHEN etag IS NULL AND modified IS NULL AND digest IS NULL THEN 'no_validator' WHEN coalesce(CASE WHEN etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = stag
     WHEN modified IS NOT NULL THEN modified = sday ELSE digest = sdigest END, false) THEN 'resolved' ELSE 'mismatch' END AS outcome FROM ranked WHERE k = 1)
 SELECT record_id, u AS canonical_url, sid * 4 AS response_id, outcome, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type,
     CASE WHEN outcome = 'resolved' THEN CAST(ssize AS VARCHAR) ELSE '0' END AS content_length, CASE WHEN outcome = 'resolved' THEN coalesce(etag, stag) ELSE etag END AS etag,

@@ -338,3 +338,40 @@ def test_short_items_and_blocks(spark, docs_of, scratch):
         found = decontaminate.decontaminate(docs_of(list(texts.items())), items, scratch, block=block)
         assert found.columns.count("matches") == 1
         assert {r["doc_id"]: {m["item_id"] for m in r["matches"]} for r in found.collect()} == want
+
+
+def test_every_template_is_found(spark, docs_of):
+    rng = random.Random(31)
+    noise = lambda n: [f"{rng.choice('bcdfgklm')}{rng.choice('aeiou')}{rng.randrange(999)}" for _ in range(n)]
+    rows, want = [], {}
+    for n, (label, text, phrases) in enumerate(licenses.TEMPLATES):
+        for changed in (False, True):
+            w, i = text.split(), len(rows)
+            if changed:  # a word in fifteen that no key phrase has is another
+                free = [k for k in range(len(w)) if not any(w[k] in p.split() for p in phrases)]
+                for k in free[: len(w) // 15]:
+                    w[k] = "other"
+            rows.append((i, " ".join([*noise(30), *w, *noise(30)]).upper() if n % 2 else "\n".join([*noise(30), *w, *noise(30)])))
+            want[i] = label
+    rows += [(1000 + i, " ".join(noise(200))) for i in range(20)]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(rows)).collect()}
+    for i, label in want.items():
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= 0.6
+    assert all(got[1000 + i]["labels"] == "" and got[1000 + i]["score"] == 0 for i in range(20))
+    table = spark.createDataFrame([("own", "our very special terms of quibbling", ["special terms"]), ("none", None, None)], "label string, text string, phrases array<string>")
+    listed = licenses.read_templates(table)
+    assert len(listed) == 1 and licenses.scan(docs_of([(1, "so Our very special terms of quibbling")]), listed).first()["labels"] == "own"
+    with pytest.raises(ValueError):
+        licenses.read_templates(table, 1)
+
+
+def test_revisits_with_awkward_rows(spark):
+    long = "http://a.example/" + "x" * 100_000
+    head = {"etag": '"1"', "content-type": "t"}
+    rows = [(1, long, 5, "response", head, "d"), (1, long, 4, "response", {"etag": '"0"'}, "c"), (1, long, 4, "response", {"etag": '"0"'}, "c")]
+    rows += [(7, long, 9, "revisit", {"etag": '"0"'}, None), (7, "http://b.example/", 9, "revisit", {"etag": '"0"'}, None), (7, long, 9, "revisit", {"etag": '"0"'}, None), (8, None, 9, "revisit", {}, None), (9, long, None, "revisit", {}, None), (10, long, 6, "revisit", {}, None)]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], REC + ", u string, slice int, response_id string")
+    got = Counter((r["record_id"], r["response_id"], r["outcome"]) for r in warc.resolve(df).collect())
+    assert got == {(7, 1, "resolved"): 2, (7, None, "no_response"): 1, (8, None, "no_response"): 1, (9, None, "no_response"): 1, (10, 1, "no_validator"): 1}
+    hot = spark.createDataFrame([(i, "http://h.example", 5 if i % 2 else 7, "response" if i % 2 else "revisit", {"etag": '"1"'}, None) for i in range(3000)], REC)
+    assert {(r["response_id"], r["outcome"]) for r in warc.resolve(hot).collect()} == {(2999, "resolved")}
