@@ -6,6 +6,7 @@ reads it back, so a lost executor costs a re-read, never a recomputation of the
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. One on this machine is made only where none is named and nothing else runs (tests, laptops)."""
     path = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"{KEY} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(KEY, path)
