@@ -510,3 +510,147 @@ def r4_package_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = some("c_custkey % 13 = 1").withColumn("error", F.lit("timeout")).unionByName(some("c_custkey % 13 = 2").withColumn("error", F.lit("model")))
     facts = Tables(spark, "verdicts").keep(analysis.package_facts(c.select(p), files, some("c_custkey % 9 <> 0"), some("c_nationkey % 2 = 0"), scripts, found, predicted, errors), "facts")
     return analysis.verdicts(facts, found, scripts)
+
+
+# --- behaviour graphs of packages of ten shapes; which module and function each calls comes from its part
+
+_SHAPES_OF = {
+    0: [("a", "x", "require", "require('M')", 1), ("c", "F", "x.F(1)", 2)],
+    2: [("a", "x", "require", "require('M')", 1), ("i", "y", "x", 2), ("c", "F", "y.F(1)", 3)],
+    3: [("c", "F", "M.F(1)", 1)],
+    4: [("n", "x", "new M()", 1), ("c", "F", "x.F(1)", 2)],
+    5: [("c", "F", "require('M').F(1)", 1)],
+    9: [("c", "F", "M.sub.F(1)", 1)],
+}
+
+
+def _shaped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables of a package for each part: cpg_nodes, cpg_edges, methods, pdg_nodes, pdg_edges, files, manifests, kb."""
+    p = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(p.alias("package"), (p % 10).cast("int").alias("shape"), F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("M"), F.concat(F.lit("f"), (p * 7 % 23).cast("string")).alias("F"))
+    nodes: list[tuple] = []  # shape, method, node, label or None (no node of the method's graph), name, code, line, further attribute
+    edges: list[tuple] = []  # shape, src, dst, label: of the property graph
+    steps: list[tuple] = []  # shape, method, src, dst, label
+    methods: list[tuple] = []  # shape, method, name, full name, file
+
+    def method(shape: int, number: int, name: str, file: str = "package/index.js") -> None:
+        full = file + "::program" + ("" if name == ":program" else ":" + name)
+        methods.append((shape, number, name, full, file))
+        nodes.append((shape, number, number, "METHOD", name, name, 1, {}))
+
+    def assign(shape: int, node: int, kind: str, left: str, name: str, code: str, line: int) -> None:
+        nodes.append((shape, 1, node, "CALL", "<operator>.assignment", f"{left} = {code}", line, {}))
+        nodes.append((shape, None, node + 1, "IDENTIFIER", left, left, line, {"ORDER": "1"}))
+        nodes.append((shape, None, node + 2, kind, name, code, line, {"ORDER": "2"}))
+        edges.extend([(shape, node, node + 1, "AST"), (shape, node, node + 2, "AST")])
+
+    def call(shape: int, of: int, node: int, name: str, code: str, line: int) -> None:
+        nodes.append((shape, of, node, "CALL", name, code, line, {}))
+
+    def chain(shape: int, of: int, *which: int) -> None:
+        steps.extend((shape, of, a, b, "CFG") for a, b in zip(which, which[1:], strict=False))
+
+    for shape in range(10):
+        method(shape, 1, ":program")
+    for shape, lines in _SHAPES_OF.items():
+        at = 10
+        order = [1]
+        for kind, name, *rest in lines:
+            if kind == "a":
+                assign(shape, at, "CALL", name, *rest)
+            elif kind == "i":
+                assign(shape, at, "IDENTIFIER", name, rest[0], rest[0], rest[1])
+            elif kind == "n":
+                assign(shape, at, "BLOCK", name, "", *rest)
+            else:
+                call(shape, 1, 90, name, *rest)
+            order.append(90 if kind == "c" else at)
+            at += 10
+        chain(shape, 1, *order)
+    # 1: x = require('M').F; x()
+    assign(1, 10, "CALL", "x", "<operator>.fieldAccess", "require('M').F", 1)
+    nodes.extend([(1, None, 13, "CALL", "require", "require('M')", 1, {"ORDER": "1"}), (1, None, 14, "FIELD_IDENTIFIER", "F", "F", 1, {"ORDER": "2"})])
+    edges.extend([(1, 12, 13, "AST"), (1, 12, 14, "AST")])
+    call(1, 1, 90, "x", "x()", 2)
+    chain(1, 1, 1, 10, 90)
+    # 6: function g() { M.F(1) }; g()
+    method(6, 2, "g")
+    call(6, 1, 20, "g", "g()", 3)
+    call(6, 2, 90, "F", "M.F(1)", 2)
+    chain(6, 1, 1, 20)
+    chain(6, 2, 2, 90)
+    # 7: require('./lib'), whose program calls M.F(1)
+    method(7, 3, ":program", "package/lib.js")
+    call(7, 1, 20, "require", "require('./lib')", 1)
+    call(7, 3, 90, "F", "M.F(1)", 1)
+    chain(7, 1, 1, 20)
+    chain(7, 3, 3, 90)
+    # 8: M.F(1, () => M.F(2))
+    method(8, 4, "<lambda>0")
+    call(8, 1, 90, "F", "M.F(1, () => 2)", 1)
+    call(8, 4, 95, "F", "M.F(2)", 1)
+    nodes.append((8, None, 91, "METHOD_REF", "", "<lambda>0", 1, {"ARGUMENT_INDEX": "2", "METHOD_FULL_NAME": "package/index.js::program:<lambda>0"}))
+    edges.append((8, 90, 91, "ARGUMENT"))
+    chain(8, 1, 1, 90)
+    chain(8, 4, 4, 95)
+
+    filled = lambda c: F.replace(F.replace(F.col(c), F.lit("M"), F.col("M")), F.lit("F"), F.col("F"))
+    rows = spark.createDataFrame([(s, m, n, kind, name, code, line, more, k) for k, (s, m, n, kind, name, code, line, more) in enumerate(nodes)], "shape int, method_id long, node_id long, label string, name string, code string, line long, more map<string,string>, seq long").join(parts, "shape")
+    rows = rows.withColumns({"n": F.when(F.col("name").isin("F"), F.col("F")).otherwise(F.col("name")), "c": F.when(F.col("label") == "METHOD", F.col("code")).otherwise(filled("code"))})
+    attr = F.map_concat(F.create_map(F.lit("label"), "label", F.lit("NAME"), "n", F.lit("CODE"), "c", F.lit("LINE_NUMBER"), F.col("line").cast("string")), "more")
+    arcs = spark.createDataFrame([(*e, k) for k, e in enumerate(edges)], "shape int, src long, dst long, label string, seq long").join(parts.select("package", "shape"), "shape")
+    ways = spark.createDataFrame([(*e, k) for k, e in enumerate(steps)], "shape int, method_id long, src long, dst long, label string, seq long").join(parts.select("package", "shape"), "shape")
+    owned = spark.createDataFrame(methods, "shape int, method_id long, name string, full_name string, file_name string").join(parts.select("package", "shape"), "shape")
+    base = table(spark, sf_dir, "part").select(F.lit("npm").alias("eco"), F.when(p % 50 % 2 == 0, "builtin").otherwise("third").alias("kind"), p.alias("id"), F.concat(F.lit("m"), (p % 50).cast("string")).alias("package"), F.concat(F.lit("f"), (p % 23).cast("string")).alias("name"), F.when(p % 7 == 0, F.lit(None).cast("string")).when(p % 5 == 0, "Others").when(p % 3 == 0, "12-23").otherwise((p % 39 + 1).cast("string")).alias("category"))
+    subs = base.filter("kind = 'builtin'").select("eco", "kind", "id", F.concat("package", F.lit(".sub")).alias("package"), "name", F.lit("5").alias("category"))
+    return {
+        "cpg_nodes": rows.select("package", "node_id", attr.alias("attr")),
+        "cpg_edges": arcs.select("package", "src", "dst", F.array("label").alias("attrs"), "seq"),
+        "methods": owned.select("package", "method_id", "name", "full_name", "file_name"),
+        "pdg_nodes": rows.filter("method_id IS NOT NULL").select("package", "method_id", "node_id", F.col("label").alias("node_type"), F.col("n").alias("name"), F.col("c").alias("code"), "line", "seq"),
+        "pdg_edges": ways.select("package", "method_id", "src", "dst", "label", "seq"),
+        "files": owned.select("package", F.col("file_name").alias("path")).distinct(),
+        "manifests": parts.select("package", F.lit("index.js").alias("main"), F.array().cast("array<string>").alias("files")),
+        "kb": base.unionByName(subs),
+    }
+
+
+_PARTS = """base AS (SELECT CASE WHEN p_partkey % 50 % 2 = 0 THEN 'builtin' ELSE 'third' END AS kind, p_partkey AS id, 'm' || (p_partkey % 50) AS module, 'f' || (p_partkey % 23) AS name,
+    CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'Others' WHEN p_partkey % 3 = 0 THEN '12-23' ELSE CAST(p_partkey % 39 + 1 AS VARCHAR) END AS category FROM part),
+first AS (SELECT kind, module, name, arg_min(coalesce(category, ''), id) AS category FROM base GROUP BY kind, module, name),
+p AS (SELECT p_partkey AS package, p_partkey % 10 AS shape, 'm' || p_size AS m, 'f' || (p_partkey * 7 % 23) AS f FROM part),
+k AS (SELECT p.*, b.category AS b, t.category AS t FROM p LEFT JOIN first b ON b.kind = 'builtin' AND b.module = p.m AND b.name = p.f LEFT JOIN first t ON t.kind = 'third' AND t.module = p.m AND t.name = p.f)"""
+
+
+@query("n10_to_n25_b5_b8_classified_calls", f"""WITH {_PARTS}, c AS (SELECT package, shape, CASE WHEN shape IN (0, 1, 2) THEN coalesce(b, t) WHEN shape = 9 THEN CASE WHEN b IS NOT NULL THEN '5' END ELSE b END AS categories FROM k)
+SELECT package, CAST(90 AS BIGINT) AS node, categories FROM c WHERE categories NOT IN ('', 'Others') UNION ALL SELECT package, 95, categories FROM c WHERE shape = 8 AND categories NOT IN ('', 'Others')""")
+def n10_classified_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import behaviour
+
+    nodes, _ = behaviour.described(behaviour.behaviour(**_shaped(spark, sf_dir)))
+    return nodes.filter("categories IS NOT NULL").select("package", "node", F.array_join("categories", "-").alias("categories"))
+
+
+_CHAINS = {0: [(1, 10), (10, 90)], 1: [(1, 10), (10, 90)], 2: [(1, 10), (10, 20), (20, 90)], 3: [(1, 90)], 4: [(1, 10), (10, 90)], 5: [(1, 90)], 6: [(1, 20), (20, 2), (2, 90)], 7: [(1, 20), (20, 3), (3, 90)], 8: [(1, 90), (90, 4), (4, 95)], 9: [(1, 90)]}
+
+
+@query("b1_b3_b5_b6_b8_graph_edges", "WITH p AS (SELECT p_partkey AS package, p_partkey % 10 AS shape FROM part), e AS (" + " UNION ALL ".join(f"SELECT {s} AS shape, CAST({a} AS BIGINT) AS src, CAST({b} AS BIGINT) AS dst" for s, pairs in _CHAINS.items() for a, b in pairs) + ") SELECT package, 'IMPORT' AS phase, src, dst FROM p JOIN e USING (shape)")
+def b1_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import behaviour
+
+    _, edges = behaviour.described(behaviour.behaviour(**_shaped(spark, sf_dir)))
+    return edges.select("package", "phase", "src", "dst")
+
+
+@query("s21_n10_missing_modules", f"""WITH {_PARTS}, mod AS (SELECT module, bool_or(kind = 'builtin') AS builtin FROM base GROUP BY module),
+w AS (SELECT k.*, coalesce(mod.builtin, false) AS builtin, mod.module IS NOT NULL AS known FROM k LEFT JOIN mod ON mod.module = k.m)
+SELECT package, kind, qualifier, name FROM (
+SELECT package, 'third' AS kind, m AS qualifier, '' AS name FROM w WHERE shape IN (0, 1, 2) AND NOT known
+UNION ALL SELECT package, CASE WHEN builtin THEN 'builtin' ELSE 'third' END, m, f FROM w WHERE shape IN (0, 2) AND coalesce(b, t, '') = ''
+UNION ALL SELECT package, CASE WHEN builtin THEN 'builtin' ELSE 'third' END, m, f FROM w WHERE shape = 1 AND coalesce(b, t, '') = ''
+UNION ALL SELECT package, 'builtin', m, f FROM w WHERE shape IN (3, 4, 5, 6, 7, 8) AND builtin AND coalesce(b, '') = ''
+UNION ALL SELECT package, 'builtin', m || '.sub', f FROM w WHERE shape = 9 AND builtin AND b IS NULL)""")
+def s21_missing_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import behaviour
+
+    return behaviour.behaviour(**_shaped(spark, sf_dir)).filter("what = 'miss'").select("package", "kind", "qualifier", "name")

@@ -150,8 +150,8 @@ SELECT s.doc_id, CAST(sum(odd) AS BIGINT) AS confusing, round(avg(e), 6) AS entr
 def o10c_identifier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split("text", r"[ \t\n\x0b\f\r]+"), lambda x: x != "")
     none = F.array().cast("array<string>")
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0)
-    return rows.select("doc_id", features.identifier_features(F.col("w"), none).alias("f")).select("doc_id", "f.confusing", F.round("f.entropy", 6).alias("entropy"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), none.alias("p")).filter(F.size("w") > 0)
+    return features.identifier_table(rows, "doc_id", "w", "p").select("doc_id", "confusing", F.round("entropy", 6).alias("entropy"))
 
 
 # --- graphs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,6 +34,8 @@ class Tables:
         ship(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root, self._n = spark, f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex[:12]}", 0

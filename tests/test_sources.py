@@ -192,3 +192,36 @@ def test_reports(spark):
     assert got["p"] == (True, {"Malicious": True, "INSTALL TIME SCRIPT": {"install": "i", "postinstall": "j"}, "RUN": {"Theft": [{"pattern desc": 'x "y"', "file": {"a.js": [1, 2]}}]}})
     last = report.report(packages, found, scripts, last_phase_only=True).filter("package = 'p'").first()
     assert json.loads(last["report"])["INSTALL TIME SCRIPT"] == {"postinstall": "j"}
+
+
+def test_small_sinks_and_sources(spark, tmp_path):
+    base = spark.createDataFrame([("npm", "third", 1, "m", "f", "7")], "eco string, kind string, id long, package string, name string, category string")
+    base.write.parquet(f"file://{tmp_path}/kb")
+    read = kb.read_kb(spark, f"file://{tmp_path}/kb")
+    assert read.columns == [x.split()[0] for x in kb.SCHEMA.split(", ")] and read.first()["category"] == "7" and read.first()["code"] is None
+    statuses = spark.createDataFrame([("p", "Malicious"), ("q", None), ("r", "Benign")], "package string, status string")
+    report.write_log(statuses, f"file://{tmp_path}/log")
+    report.write_log(statuses.limit(1), f"file://{tmp_path}/log", overwrite=False)
+    lines = sorted(r["value"] for r in spark.read.text(f"file://{tmp_path}/log").collect())
+    assert lines == ["CRITICAL p: Malicious", "CRITICAL p: Malicious", "INFO r: Benign"]
+    counts = spark.createDataFrame([("a", "(1, 2)", 3), ("a", "(2, 3)", 1), ("b", "(1, 2)", 5)], "k string, gram string, count long")
+    shares = {r["k"]: r["shares"] for r in features.hashed_shares(counts, "k", 1000).collect()}
+    assert sorted(shares["a"].values()) == [0.25, 0.75] and list(shares["b"].values()) == [1.0] and set(shares["b"]) < set(shares["a"])
+    assert features.stacked(None, None) is None
+
+
+def test_saved_features_are_scored_alike(spark, tmp_path):
+    rows = [(f"f{i}", [float(i % 2)] * 11, {0: i / 40}, i % 2) for i in range(40)]
+    table = spark.createDataFrame(rows, "name string, lexical array<double>, shares map<long,double>, label int")
+    table = table.select("name", "label", scoring.feature_vector(F.col("lexical"), F.col("shares"), 3).alias("features"))
+    scoring.save_features(table, f"file://{tmp_path}/features")
+    model = scoring.forest(trees=5, depth=4).fit(table)
+    got = {r["name"]: (r["probability"], r["predicted"]) for r in scoring.score_saved(spark, f"file://{tmp_path}/features", model).collect()}
+    assert got == {r["name"]: (r["probability"], r["predicted"]) for r in scoring.score(table, model).collect()}
+    assert all((got[f"f{i}"][1] == "malicious") == (i % 2 == 1) for i in range(40))
+
+
+def test_lines_are_repaired_as_files_are_read(spark):
+    text = 'digraph {\n1 [DYNAMIC_TYPE_HINT_FULL_NAME="a"b" NAME="x"]\n2 [NAME="y"]\n1 -> 2 [label="CFG"]\n}'
+    got = dot.parse_dot(spark.createDataFrame([("p", text), ("q", None)], "package string, text string"), ["package"]).collect()
+    assert [r["attr"].get("DYNAMIC_TYPE_HINT_FULL_NAME") for r in got if not r["is_edge"]] == ['a"b', None] and len(got) == 3
