@@ -4,12 +4,13 @@ The tree has the node types and fields that concrete-syntax tools for JavaScript
 expression_statement, call_expression, member_expression and so on; punctuation is not kept. What can't be parsed
 becomes an ERROR node that holds the complete parts found in it, and parsing goes on behind it. Names are matched by
 Unicode classes, regular expressions and divisions are told apart by what the grammar expects next, and statements end
-at line breaks where the language says so.
+at line breaks where the language says so. Nesting is followed to a depth of 10,000.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,10 @@ _COMMENT = re.compile(r"//[^\n\r]*|/\*.*?(?:\*/|\Z)|<!--[^\n\r]*", re.S)
 _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
 _ASSIGN = {"+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=", "&&=", "||=", "??="}
 _RESERVED = set("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with".split())
-_DEEPEST = 400
+#: Statements and expressions inside each other; what is nested deeper becomes an ERROR node.
+_DEEPEST = 10_000
+#: Frames of Python for each level.
+_FRAMES = 30
 
 
 @dataclass(eq=False)
@@ -88,6 +92,7 @@ class Parser:
         self.s, self.at, self.token, self.last = source, 0, None, 0
         self.comments: list[Node] = []
         self.depth = 0
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), _FRAMES * _DEEPEST))  # frames are on the heap
         self.done: list[Node] = []  # complete nodes of the statement under way, for ERROR
 
     # --- tokens
