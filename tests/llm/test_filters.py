@@ -107,6 +107,41 @@ def test_decontamination_recall(spark, scratch):
     assert len(want & got) / len(want) >= 0.9 and len(got - want) <= 0.02 * len(docs)
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_recall_of_paraphrases_alone(spark, scratch):
+    items = pq.read_table("/root/testdata/sf0.1/benchmark.parquet").to_pylist()
+    around = [t.split() for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    rng, rows, own = random.Random(6), [], {}
+    for n, b in enumerate(items):
+        for way, share in enumerate((0.125, 0.2, 0.25)):
+            w = []
+            for x in b["text"].split():
+                dice = rng.random()
+                w += [x] if dice > share else [] if dice < share / 4 else ["other", x] if dice < share / 3 else [f"changed{rng.randrange(10**6)}"]
+            i, frame = 10 * n + way, around[(n + way) % len(around)]
+            at = rng.randrange(len(frame) + 1)
+            rows.append((i, " ".join([*frame[:at], *w, *frame[at:]])))
+            own[i] = (b["item_id"], plain(b["text"]), plain(" ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["matches"] for r in decontaminate.decontaminate(docs, spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet"), scratch).collect()}
+    due = [i for i, (_, item, text) in own.items() if lcs(item, text) >= 0.7 * len(item)]
+    assert len(due) > 400
+    assert sum(own[i][0] in {m["item_id"] for m in found[i]} for i in due) >= 0.97 * len(due)
+    words = {b["item_id"]: plain(b["text"]) for b in items}
+    texts = {i: plain(t) for i, t in rows}
+    for i in rng.sample(sorted(texts), 60):
+        assert all(lcs(words[m["item_id"]], texts[i]) >= 0.7 * len(words[m["item_id"]]) for m in found[i])
+
+
 def test_decontamination_of_many_items(spark, scratch):
     rng = random.Random(3)
     texts = [t.split() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t]
