@@ -507,6 +507,34 @@ def path_nodes(contracted: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(known, ["package", "src", "dst"])
 
 
+def _nodes_between_walk(held: Held, share: int, shares: int) -> dict[str, list]:
+    """X7 of one package. Every edge is cut in two by a node of its own, so that the edges on simple paths are found too."""
+    own, out = held["edges"], {"src": [], "dst": [], "nodes": []}
+    nodes = sorted({*own["src"], *own["dst"]})
+    number = {n: i for i, n in enumerate(nodes)}
+    m = len(own["src"])
+    src = [number[a] for a in own["src"]] + [len(nodes) + i for i in range(m)]
+    dst = [len(nodes) + i for i in range(m)] + [number[b] for b in own["dst"]]
+    every = list(range(len(nodes) + m))
+    for a, b in sorted(set(zip(held["pairs"]["src"], held["pairs"]["dst"], strict=True))):
+        if a not in number or b not in number or hash(a) % shares != share:
+            continue
+        ends = {number[a], number[b]}
+        walk = contract_walk({"nodes": {"node": every, "sensitive": [n in ends for n in every]}, "edges": {"src": src, "dst": dst, "kind": ["DDG"] * (2 * m)}})
+        for s, t, kind, inner in zip(walk["src"], walk["dst"], walk["kind"], walk["inner"], strict=True):
+            if (s, t, kind) == (number[a], number[b], "DDG"):
+                passed = {nodes[n] for n in inner if n < len(nodes)} | {x for n in inner if n >= len(nodes) for x in own["inner"][n - len(nodes)] or ()}
+                for c, value in (("src", a), ("dst", b), ("nodes", sorted(passed))):
+                    out[c].append(value)
+    return out
+
+
+def nodes_between(contracted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (package, src, dst) that contracted DDG edges connect, with nodes: all that their simple paths pass, plain and sensitive."""
+    edges = contracted.filter("kind = 'DDG'").select("package", "src", "dst", "inner")
+    return walked({"edges": edges, "pairs": pairs.select("package", "src", "dst")}, _nodes_between_walk, "src long, dst long, nodes array<long>")
+
+
 def class_lists(nodes: DataFrame) -> DataFrame:
     """(package, classes): (node, class) of a package's nodes (package, node, class), in order."""
     return nodes.groupBy("package").agg(F.array_sort(F.collect_list(F.struct("node", "class"))).alias("classes"))

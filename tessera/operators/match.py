@@ -78,6 +78,11 @@ class Pattern:
         return [(h, k, t) for h, out in self.after.items() for k, t in out] if len(self.classes) > 1 else []
 
 
+def category_of(description: Column) -> Column:
+    """The category whose description this is, or null."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for number, text in CATEGORIES.items() for x in (text, number))), description)
+
+
 def read_patterns(patterns: DataFrame, pattern_edges: DataFrame) -> list[Pattern]:
     """Patterns (pattern_id, ord, maliciousness, pattern_desc), edges (pattern_id, ord, is_key, head_class, kind,
     tail_class). A rule set is small by nature; it is what the driver compiles."""

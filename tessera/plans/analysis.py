@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import behaviour, graph, match, report, scoring
 from tessera.session import Tables
 
+T = TypeVar("T")
+
 
 def sensitive_graph(rows: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """X1-X5 on the graphs of behaviour(): nodes (package, node, class, file, line) and contracted edges.
@@ -46,6 +53,28 @@ def findings(rows: DataFrame, patterns: list[match.Pattern], arguments: DataFram
     return report.distinct_findings(flat.withColumnRenamed("name", "package"))
 
 
+def within(spark: SparkSession, seconds: float, action: Callable[[], T]) -> T | None:
+    """What the action gives, or None once its time is up; its Spark jobs are cancelled then."""
+    context, group, late = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
+    timer.start()
+    try:
+        return action()
+    except Exception:
+        if late.is_set():
+            return None
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def package_facts(packages: DataFrame, files: DataFrame, cpg_nodes: DataFrame, methods: DataFrame, scripts: DataFrame, found: DataFrame, predicted: DataFrame, errors: DataFrame) -> DataFrame:
     """What the status of each package depends on, from the tables of the steps before.
 

@@ -145,6 +145,25 @@ def x9_class_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("package", F.array_join(F.transform("classes", lambda c: F.concat(c["node"].cast("string"), F.lit(":"), c["class"])), ",").alias("classes"))
 
 
+@query("x7_nodes_between", f"""WITH {_EVENTS}, s AS (SELECT package, key, node, ts, lead(node, 2) OVER (PARTITION BY package, key ORDER BY ts, node) AS dst FROM e WHERE sensitive), d AS (SELECT s.*, t.ts AS until FROM s JOIN e t ON t.package = s.package AND t.node = s.dst)
+SELECT d.package, d.node AS src, d.dst, string_agg(CAST(m.node AS VARCHAR), ',' ORDER BY m.node) AS nodes FROM d JOIN e m ON m.package = d.package AND m.key = d.key AND m.ts > d.ts AND m.ts < d.until GROUP BY d.package, d.node, d.dst""")
+def x7_nodes_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between each sensitive event and the second one after it with the same key."""
+    contracted = Tables(spark, "between").keep(graph.contract(*_graph(spark, sf_dir)), "contracted").filter("kind = 'DDG'")
+    after = contracted.select("package", F.col("src").alias("dst"), F.col("dst").alias("end"))
+    pairs = contracted.join(after, ["package", "dst"]).select("package", "src", F.col("end").alias("dst"))
+    found = graph.nodes_between(contracted, pairs)
+    return found.select("package", "src", "dst", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("nodes"))
+
+
+@query("m11_category_numbers", f"WITH {_EVENTS} SELECT package, node, CASE WHEN key < 9 THEN CAST(key + 1 AS VARCHAR) END AS category FROM e")
+def m11_category_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import behaviour, match
+
+    text = F.when(F.col("key") < 9, behaviour.description((F.col("key") + 1).cast("string"))).otherwise("no class")
+    return _events(spark, sf_dir).select("package", "node", match.category_of(text).alias("category"))
+
+
 # --- graphs as text
 
 

@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph, match, report, resolve
 from tessera.session import Tables
@@ -252,3 +253,39 @@ def test_composed_method_graphs(spark):
     params = spark.createDataFrame([(1, 1, 11, "METHOD_PARAMETER_IN", "a"), (1, 2, 21, "METHOD_PARAMETER_IN", "b"), (1, 2, 22, "METHOD_PARAMETER_IN", "this")], "package int, method long, node long, node_type string, code string")
     methods = spark.createDataFrame([(1, 1, "f", None), (1, 2, "<lambda>0", ["b"])], "package int, method long, name string, formal array<string>")
     assert {(r["src"], r["dst"]) for r in graph.parameter_edges(params, methods).collect()} == {(1, 11), (2, 21)}
+
+
+def test_nodes_between_equal_brute_force(spark):
+    rng, rows, want = random.Random(14), [], {}
+    for p in range(40):
+        edges = {(rng.randrange(6), rng.randrange(6)) for _ in range(rng.randrange(1, 14))}
+        inner = {e: [100 * e[0] + 10 * e[1] + k for k in range(rng.randrange(3))] for e in sorted(edges)}
+        rows += [(p, s, d, "DDG", i) for (s, d), i in inner.items()]
+
+        def paths(at, end, trail, inner=inner):
+            for s, d in inner:
+                if s == at and d == end:
+                    yield [*trail, d]
+                elif s == at and d not in trail:
+                    yield from paths(d, end, [*trail, d])
+
+        for a in range(6):
+            for b in range(6):
+                found = [t for t in paths(a, b, [a])]
+                if found and a != b:
+                    want[p, a, b] = sorted({n for t in found for n in t[1:-1]} | {n for t in found for e in zip(t, t[1:], strict=False) for n in inner[e]})
+    contracted = spark.createDataFrame(rows, EDGES + ", inner array<long>")
+    pairs = spark.createDataFrame([(p, a, b) for p in range(40) for a in range(6) for b in range(6) if a != b], "package int, src long, dst long")
+    assert {(r["package"], r["src"], r["dst"]): r["nodes"] for r in graph.nodes_between(contracted, pairs).collect()} == want
+
+
+def test_deadlines(spark):
+    from tessera.plans import analysis
+
+    assert analysis.within(spark, 60, lambda: spark.range(10).count()) == 10
+    slow = spark.range(4).select(F.udf(lambda x: time.sleep(30) or x, "long")("id"))
+    began = time.time()
+    assert analysis.within(spark, 1, slow.collect) is None and time.time() - began < 25
+    with pytest.raises(ZeroDivisionError):
+        analysis.within(spark, 60, lambda: 1 / 0)
+    assert spark.range(3).count() == 3
