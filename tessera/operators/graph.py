@@ -183,7 +183,8 @@ def walked(tables: dict[str, DataFrame], walk: Callable[[Held, int, int], dict[s
     """walk(columns of each table, share, shares) for each package and share; its columns, with the package, make the result.
 
     A package with more than `large` rows of the table edges is dealt to several tasks as shares 0 to shares - 1, all
-    with all of its rows. One shuffle serves all tables.
+    with all of its rows; they are counted first, so edges that are costly to make should be a written table. One
+    shuffle serves all tables.
     """
     from pyspark.sql.types import _parse_datatype_string
 

@@ -7,6 +7,8 @@ earlier or the same line decides, and in it the one bound last, by seq and not b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def enclosing(scope: Column) -> Column:
     return F.transform(F.sequence(F.size(scope), F.lit(0), F.lit(-1)), lambda n: F.slice(scope, 1, n))
 
 
-def resolve(uses: DataFrame, bindings: DataFrame, use_id: str) -> DataFrame:
+def resolve(uses: DataFrame, bindings: DataFrame, use_id: str, slices: int = 16) -> DataFrame:
     """Uses with binding, the struct of the binding's other columns, or null.
 
     An as-of join without a range join: uses are exploded to the scopes that they see, which are as many as the
@@ -44,17 +46,34 @@ def resolve(uses: DataFrame, bindings: DataFrame, use_id: str) -> DataFrame:
     others = [c for c in bindings.columns if c not in (*key, "scope_path")]
     seen = uses.select(use_id, *key, "line", F.explode(enclosing(F.col("scope_path"))).alias("scope_path"))
     bound = bindings.select(*key, "scope_path", "line", "seq", F.struct(*others).alias("binding"))
-    rows = _running(seen, bound, [*key, "scope_path"], "line", "seq", "binding")
+    rows = _running(seen, bound, [*key, "scope_path"], "line", "seq", "binding", slices)
     best = rows.filter(F.col("binding").isNotNull()).groupBy(use_id).agg(F.max_by("binding", F.size("scope_path")).alias("binding"))
     return uses.join(best, use_id, "left")
 
 
-def _running(uses: DataFrame, bound: DataFrame, key: list[str], at: str, seq: str, value: str) -> DataFrame:
-    """uses with value: of the rows of bound with an equal key and an at that is not later, the one with the largest seq."""
+def _running(uses: DataFrame, bound: DataFrame, key: list[str], at: str, seq: str, value: str, slices: int = 16) -> DataFrame:
+    """uses with value: of the rows of bound with an equal key and an at that is not later, the one with the largest seq.
+
+    The axis of at is cut at quantiles, so that the rows of one key, however many, spread over as many tasks. What earlier
+    slices hand on is one row for each (key, slice), found by a pre-aggregation.
+    """
+    cuts = sorted(set(bound.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)], 1000).alias("c")).first()["c"] or [])) if slices > 1 else []
+    nth = F.size(F.filter(F.array(*(F.lit(c).cast(bound.schema[at].dataType) for c in cuts)), lambda c: c <= F.col(at))) if cuts else F.lit(0)
+    uses, bound, group = uses.withColumn("__slice", nth), bound.withColumn("__slice", nth), [*key, "__slice"]
     both = uses.withColumns({seq: F.lit(None).cast(bound.schema[seq].dataType), value: F.lit(None).cast(bound.schema[value].dataType), "__use": F.lit(True)})
     rows = both.unionByName(bound.withColumn("__use", F.lit(False)), allowMissingColumns=True)
-    upto = Window.partitionBy(*key).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(value, F.max_by(value, F.when(~F.col("__use"), F.col(seq))).over(upto)).filter("__use").drop("__use", seq)
+    order = F.when(~F.col("__use"), F.col(seq))
+    upto = Window.partitionBy(*group).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.withColumns({"__own": F.max_by(value, order).over(upto), "__seq": F.max(order).over(upto)}).filter("__use").drop("__use", seq, value)
+    if not cuts:
+        return own.withColumnRenamed("__own", value).drop("__seq", "__slice")
+    last = rows.groupBy(*group).agg(F.max_by(value, order).alias("v"), F.max(order).alias("s"), F.max("__use").alias("asks"))
+    before = Window.partitionBy(*key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    handed = last.select(*(F.col(c).alias(f"{c}__h") for c in group), F.max_by("v", "s").over(before).alias("__v"), F.max("s").over(before).alias("__s"), "asks").filter("asks AND __s IS NOT NULL")
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}__h")) for c in group))
+    pick = F.when(F.col("__seq").isNull() | (F.col("__s") > F.col("__seq")), F.col("__v")).otherwise(F.col("__own"))
+    out = own.join(handed, same, "left").withColumn(value, pick)
+    return out.drop("__own", "__seq", "__v", "__s", "__slice", "asks", *(f"{c}__h" for c in group))
 
 
 def asof_by_time(uses: DataFrame, bindings: DataFrame, key: str, at: str, since: str, seq: str, use_id: str, value: str) -> DataFrame:

@@ -29,7 +29,8 @@ def sensitive_graph(rows: DataFrame, tables: Tables) -> tuple[DataFrame, DataFra
     parts, moved = graph.split_categories(n.select("package", "node", "categories"), e)
     number = lambda c: F.col(c)["node"] * 100 + F.col(c)["part"]
     flat = tables.keep(parts.join(n.select("package", F.col("node").alias("__n"), "file", "line"), (parts["package"] == n["package"]) & (parts["id.node"] == F.col("__n"))).select(parts["package"], number("id").alias("node"), "sensitive", behaviour.description(F.col("category")).alias("class"), "file", "line"), "nodes")
-    contracted = graph.contract(flat.select("package", "node", "sensitive"), moved.select("package", number("src").alias("src"), number("dst").alias("dst"), "kind"))
+    moved = tables.keep(moved.select("package", number("src").alias("src"), number("dst").alias("dst"), "kind"), "edges")
+    contracted = tables.keep(graph.contract(flat.select("package", "node", "sensitive"), moved), "contracted")
     return flat.filter("sensitive").drop("sensitive"), contracted
 
 

@@ -434,8 +434,7 @@ def a4_a6_called_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ast.first_capture(calls, ["event_id"], "f").select("event_id", F.col("f_text").alias("first_name")).join(last, "event_id")
 
 
-@query("a2_a3_children", f"""WITH {_K} SELECT event_id, CASE t WHEN 'click' THEN 1 WHEN 'view' THEN 0 WHEN 'error' THEN 1 WHEN 'signup' THEN 1 ELSE 1 END AS numbers, CASE t WHEN 'click' THEN CAST(k AS VARCHAR) WHEN 'error' THEN CAST(k AS VARCHAR) WHEN 'signup' THEN CAST(k AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS first_number
-FROM k WHERE t <> 'view'""")
+@query("a2_a3_children", f"WITH {_K} SELECT event_id, 1 AS numbers, CAST(k AS VARCHAR) AS first_number FROM k WHERE t <> 'view'")
 def a2_a3_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers among the arguments of each script's first call with one."""
     keys = ["event_id"]

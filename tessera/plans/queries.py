@@ -206,7 +206,7 @@ def x5_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x8_reachability", f"WITH RECURSIVE {_REACH} SELECT package, src, dst, kind FROM reach")
 def x8_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(_contracted(spark, sf_dir))
+    return graph.closure(Tables(spark, "reach").keep(_contracted(spark, sf_dir).drop("inner"), "contracted"))
 
 
 @query("x1_category_split", f"""WITH {_EVENTS}, cat AS (SELECT package, node, CASE class WHEN 'signup' THEN ['12', '23'] WHEN 'error' THEN ['37'] WHEN 'purchase' THEN ['6', '14', '20'] ELSE CAST([] AS VARCHAR[]) END AS c FROM e),

@@ -289,3 +289,23 @@ def test_deadlines(spark):
     with pytest.raises(ZeroDivisionError):
         analysis.within(spark, 60, lambda: 1 / 0)
     assert spark.range(3).count() == 3
+
+
+def test_names_in_slices_equal_brute_force(spark):
+    rng = random.Random(16)
+    base = lambda: (1, rng.choice(["a.js", None]), rng.choice([[], ["f"], ["f", "g"]]), rng.choice("xy"))
+    bindings = [(*base(), n, rng.choice([None, *range(30)]), n) for n in range(150)]
+    uses = [(*base(), rng.choice([None, *range(30)]), n) for n in range(200)]
+    b = spark.createDataFrame(bindings, "package int, file string, scope_path array<string>, name string, seq long, line int, id long")
+    u = spark.createDataFrame(uses, "package int, file string, scope_path array<string>, name string, line int, use long")
+    want = {}
+    for p, f, scope, name, line, use in uses:
+        for depth in range(len(scope), -1, -1):
+            found = [x for x in bindings if x[:4] == (p, f, scope[:depth], name) and line is not None and x[5] is not None and x[5] <= line]
+            if found:
+                want[use] = max(found, key=lambda x: x[4])[6]
+                break
+    known = {k: v for k, v in want.items() if uses[k][1] is not None}
+    for slices in (1, 2, 7, 16):
+        rows = resolve.resolve(u.filter("line IS NOT NULL"), b.filter("line IS NOT NULL"), "use", slices).collect()
+        assert {r["use"]: r["binding"]["id"] for r in rows if r["binding"] is not None and r["file"] is not None} == known
