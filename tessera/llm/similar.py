@@ -3,8 +3,8 @@
 1. MinHash: of each text's set of five-word shingles, BANDS keys of ROWS minima each. Two texts with Jaccard similarity
    0.8 share no key with probability (1 - 0.8 ** 4) ** 24 = 3e-6, and less above it.
 2. Keys under which more than one component stands are groups; of equal groups one is kept.
-3. Each group's sets are compared exactly. A text is compared with the texts of a component until one is similar
-   enough and the components become one, so a large group of near copies is not compared pair by pair.
+3. Each group's sets are compared exactly; a crowded group in blocks of which each two meet. A text is compared with texts of other components only, and components that
+   are alike become one, so a large group of near copies is not compared pair by pair.
 
 Defined results: null and empty texts are similar to nothing; fewer words than a shingle make one shingle.
 """
@@ -68,9 +68,37 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (small + large - both)
 
 
-def merged(components: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Pairs of components that connect all that have similar sets."""
-    clusters: dict[int, list[np.ndarray]] = {}
+class Postings:
+    """Which of a group's texts have each shingle; texts are added one by one."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        ends = np.cumsum(self.sizes)
+        self.codes = [code[a:b] for a, b in zip(ends - self.sizes, ends, strict=True)]
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.texts = owner[np.argsort(code, kind="stable")]  # by shingle, then by text
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(every)))])
+        self.filled = self.start[:-1].copy()
+
+    def add(self, i: int) -> None:
+        self.filled[self.codes[i]] += 1
+
+    def alike(self, i: int, least: float) -> np.ndarray:
+        """The texts added so far whose similarity with text i is `least` or more."""
+        low, n = self.start[self.codes[i]], self.filled[self.codes[i]] - self.start[self.codes[i]]
+        hits = self.texts[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both = np.bincount(hits, minlength=len(self.sizes))
+        return np.flatnonzero((both > 0) & (both >= least * (self.sizes[i] + self.sizes - both)))
+
+
+def merged(components: list[int], sets: list[np.ndarray], least: float, few: int = 64) -> list[tuple[int, int]]:
+    """Pairs of components that connect all that have similar sets.
+
+    A text is compared with those of other components only: one by one where these are `few`, else by counting what
+    it shares with each.
+    """
+    clusters: dict[int, list[int]] = {}
     up: dict[int, int] = {}
     out = []
 
@@ -79,21 +107,41 @@ def merged(components: list[int], sets: list[np.ndarray], least: float) -> list[
             c = up[c]
         return c
 
-    for component, own in zip(components, sets, strict=True):
+    def join(root: int, other: int) -> None:
+        out.append((root, other))
+        up[other] = root
+        clusters[root] = clusters.get(root, []) + clusters.pop(other)
+
+    postings = Postings(sets)
+    for i, component in enumerate(components):
         root = find(component)
-        for other in [c for c in clusters if c != root]:
-            if any(similar(own, x, least) for x in clusters[other]):
-                out.append((root, other))
-                up[other] = root
-                clusters[root] = clusters.get(root, []) + clusters.pop(other)
-        clusters.setdefault(root, []).append(own)
+        if sum(len(v) for c, v in clusters.items() if c != root) <= few:
+            for other in [c for c in clusters if c != root]:
+                if any(similar(sets[i], sets[j], least) for j in clusters[other]):
+                    join(root, other)
+        else:
+            for j in postings.alike(i, least).tolist():
+                if (other := find(components[j])) != root:
+                    join(root, other)
+        clusters.setdefault(root, []).append(i)
+        postings.add(i)
     return out
 
 
-def links(docs: DataFrame, found: DataFrame, scratch: Scratch, least: float = 0.8, size: int = 5) -> DataFrame:
+def dealt(members: DataFrame, crowded: int) -> DataFrame:
+    """members (k, text_hash, ...) with block: groups of more than `crowded` are cut into blocks, and each two blocks meet."""
+    many = members.groupBy("k").count().filter(F.col("count") > crowded).select("k", F.ceil(2 * F.col("count") / crowded).alias("n"))
+    own = F.pmod(F.xxhash64("text_hash"), F.col("n"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("n") - 1, F.lit(0).cast("long")))).alias("other")
+    rows = members.join(many, "k", "left").select(*members.columns, own.alias("own"), other)
+    block = F.when(F.col("own").isNotNull(), F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    return rows.select(*members.columns, block.alias("block"))
+
+
+def links(docs: DataFrame, found: DataFrame, scratch: Scratch, least: float = 0.8, size: int = 5, crowded: int = 4096) -> DataFrame:
     """(a, b): pairs of components that connect all with texts of similarity `least` or more.
 
-    found: (text_hash, component) of the texts of docs.
+    found: (text_hash, component) of the texts of docs. A task compares about `crowded` texts at most.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,4 +169,4 @@ def links(docs: DataFrame, found: DataFrame, scratch: Scratch, least: float = 0.
         pairs = merged(table.column("component").to_pylist(), [_shingle_set(t.as_py(), size) for t in table.column("text")], least)
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
-    return members.join(wanted, "text_hash").groupBy("k").applyInArrow(compare, "a long, b long").distinct()
+    return dealt(members, crowded).join(wanted, "text_hash").groupBy("k", "block").applyInArrow(compare, "a long, b long").distinct()

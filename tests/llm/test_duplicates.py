@@ -8,8 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tessera.llm import simhash, substrings
+from tessera.llm import similar, simhash, substrings
 from tessera.llm import words as W
 from tessera.llm.fm_index import Index, repeated
 
@@ -225,3 +226,42 @@ def test_pipeline_drops_similar_documents(spark):
     docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(copy)), (3, " ".join(text[100:] + copy[:50]))], "doc_id long, text string")
     assert (simhash.fingerprint(" ".join(text)) ^ simhash.fingerprint(" ".join(copy))).bit_count() > 4
     assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()} == {1, 3}
+
+
+def test_crowded_groups_lose_no_link(spark, scratch):
+    rng = random.Random(23)
+    base = [[f"{n}w{i}" for i in range(60)] for n in range(3)]
+    texts = []
+    for n in range(60):
+        w = list(base[n % 3])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = docs.select(F.xxhash64("text").alias("text_hash"), F.col("doc_id").alias("component"))
+    label = {}
+    for crowded in (4096, 7, 2):
+        pairs = similar.links(docs, found, scratch, crowded=crowded)
+        label[crowded] = {r["node"]: r["label"] for r in simhash.components(pairs, scratch).collect()}
+    assert label[4096] and label[4096] == label[7] == label[2]
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_components_of_similar_sets(few):
+    rng = random.Random(17)
+    for _ in range(60):
+        n = rng.randrange(1, 30)
+        base = [rng.sample(range(400), 40) for _ in range(3)]
+        sets = [np.unique(np.array([x if rng.random() > 0.1 else rng.randrange(400) for x in rng.choice(base)], np.uint64)) for _ in range(n)]
+        components = [rng.randrange(12) for _ in range(n)]
+
+        def joined(pairs, components=components):
+            up = {c: c for c in components}
+            for a, b in pairs:
+                low, high = sorted((up[a], up[b]))
+                up = {c: low if r == high else r for c, r in up.items()}
+            return up
+
+        want = [(components[i], components[j]) for i in range(n) for j in range(i) if similar.similar(sets[i], sets[j], 0.8)]
+        assert joined(similar.merged(components, sets, 0.8, few)) == joined(want)
