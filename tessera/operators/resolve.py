@@ -35,12 +35,13 @@ def enclosing(scope: Column) -> Column:
     return F.transform(F.sequence(F.size(scope), F.lit(0), F.lit(-1)), lambda n: F.slice(scope, 1, n))
 
 
-def resolve(uses: DataFrame, bindings: DataFrame, use_id: str, slices: int = 16) -> DataFrame:
+def resolve(uses: DataFrame, bindings: DataFrame, use_id: str, slices: int = 1) -> DataFrame:
     """Uses with binding, the struct of the binding's other columns, or null.
 
     An as-of join without a range join: uses are exploded to the scopes that they see, which are as many as the
     nesting is deep, and stand beside the bindings of each (package, file, name, scope) in order of lines, where a
-    running max_by hands each use its binding. So nothing is paired up. use_id identifies a use.
+    running max_by hands each use its binding. So nothing is paired up. use_id identifies a use. slices: tasks over which
+    a name with very many rows in one scope is spread.
     """
     key = ["package", "file", "name"]
     others = [c for c in bindings.columns if c not in (*key, "scope_path")]
@@ -51,11 +52,11 @@ def resolve(uses: DataFrame, bindings: DataFrame, use_id: str, slices: int = 16)
     return uses.join(best, use_id, "left")
 
 
-def _running(uses: DataFrame, bound: DataFrame, key: list[str], at: str, seq: str, value: str, slices: int = 16) -> DataFrame:
+def _running(uses: DataFrame, bound: DataFrame, key: list[str], at: str, seq: str, value: str, slices: int = 1) -> DataFrame:
     """uses with value: of the rows of bound with an equal key and an at that is not later, the one with the largest seq.
 
-    The axis of at is cut at quantiles, so that the rows of one key, however many, spread over as many tasks. What earlier
-    slices hand on is one row for each (key, slice), found by a pre-aggregation.
+    With several slices the axis of at is cut at quantiles, so that the rows of one key, however many, spread over as many
+    tasks. What earlier slices hand on is one row for each (key, slice), found by a pre-aggregation.
     """
     cuts = sorted(set(bound.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)], 1000).alias("c")).first()["c"] or [])) if slices > 1 else []
     nth = F.size(F.filter(F.array(*(F.lit(c).cast(bound.schema[at].dataType) for c in cuts)), lambda c: c <= F.col(at))) if cuts else F.lit(0)
@@ -76,9 +77,9 @@ def _running(uses: DataFrame, bound: DataFrame, key: list[str], at: str, seq: st
     return out.drop("__own", "__seq", "__v", "__s", "__slice", "asks", *(f"{c}__h" for c in group))
 
 
-def asof_by_time(uses: DataFrame, bindings: DataFrame, key: str, at: str, since: str, seq: str, use_id: str, value: str) -> DataFrame:
+def asof_by_time(uses: DataFrame, bindings: DataFrame, key: str, at: str, since: str, seq: str, use_id: str, value: str, slices: int = 1) -> DataFrame:
     """N1 with one scope: (use_id, value) of the last binding, by seq, whose since is not after the use's at."""
-    found = _running(uses.select(use_id, key, F.col(at).alias("__at")), bindings.select(key, F.col(since).alias("__at"), seq, value), [key], "__at", seq, value)
+    found = _running(uses.select(use_id, key, F.col(at).alias("__at")), bindings.select(key, F.col(since).alias("__at"), seq, value), [key], "__at", seq, value, slices)
     return found.select(use_id, value)
 
 
