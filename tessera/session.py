@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,24 @@ def ship(spark: SparkSession) -> None:
     setattr(context, _SHIPPED, True)
 
 
+class Memo:
+    """make(text), made once for equal short texts as long as these fit in `room` characters, then anew."""
+
+    def __init__(self, make: Callable[[str], Any], room: int = 1 << 17, longest: int = 1 << 12):
+        self.make, self.room, self.longest, self.held, self.used = make, room, longest, {}, 0
+
+    def __call__(self, text: str) -> Any:
+        if text in self.held:
+            return self.held[text]
+        made = self.make(text)
+        if len(text) <= self.longest:
+            if self.used > self.room:
+                self.held, self.used = {}, 0
+            self.held[text] = made
+            self.used += len(text) + 1
+        return made
+
+
 class Tables:
     """Tables that cut lineage, in the shared folder of the session."""
 
