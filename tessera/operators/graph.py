@@ -10,7 +10,7 @@ task, contract_by_joins() and closure_by_joins() walk by joins, with a table wri
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -21,6 +21,8 @@ from tessera.session import Tables, ship
 
 #: Edges of a package for each task that walks it.
 LARGE = 200_000
+#: Rows of small packages that leave a task together.
+_ROWS = 1000
 # Labels of dependence edges that say nothing.
 EMPTY_LABELS = ("DDG: ", "CDG: ", "DDG: this")
 
@@ -157,16 +159,33 @@ def by_package(tables: dict[str, DataFrame], walk: Callable[[dict[str, list[dict
     full = type(out_schema)([*out_schema.fields]).add("package", kind)
     names, arrow = list(tables), _arrow(full)
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        held: dict[str, list[dict]] = {n: [] for n in names}
-        for t, r in zip(table.column("t").to_pylist(), table.column("r").to_pylist(), strict=True):
-            held[t].append(json.loads(r))
-        package = key[0].as_py()
-        return pa.Table.from_pylist([x | {"package": package} for x in walk(held)], schema=arrow)
-
-    return rows.groupBy("package").applyInArrow(run, full).select("package", *[f.name for f in out_schema.fields])
+        def packages() -> Iterator[tuple[object, dict[str, list[dict]]]]:
+            key, held = None, None
+            for b in batches:
+                for package, t, r in zip(*(b.column(c).to_pylist() for c in ("package", "t", "r")), strict=True):
+                    if held is None or package != key:
+                        if held is not None:
+                            yield key, held
+                        key, held = package, {n: [] for n in names}
+                    held[t].append(json.loads(r))
+            if held is not None:
+                yield key, held
+
+        out: list[dict] = []
+        for package, held in packages():
+            for x in walk(held):
+                out.append(x | {"package": package})
+                if len(out) == _ROWS:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    # packages are many and small: they share batches, a batch for each would cost more than the walk
+    return rows.repartition("package").sortWithinPartitions("package").mapInArrow(run, full).select("package", *[f.name for f in out_schema.fields])
 
 
 def _arrow(schema) -> pa.Schema:
