@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import features, js
 from tessera.functions.text import plain_requires, property_calls
-from tessera.session import ship
+from tessera.session import Memo, ship
 
 TREE = "node_id long, parent_id long, pre long, post long, statement_id long, type string, field string, start_row int, start_col int, end_row int, end_col int, text string"
 
+#: Rows, and characters of text, after which the rows of small files leave a task together.
+_ROWS, _CHARACTERS = 1000, 1 << 20
+
 
 def _per_file(files: DataFrame, keys: list[str], schema: str, make: Callable[[str], list[dict]]) -> DataFrame:
     """make(text) for each file: rows of schema with the key columns in front."""
@@ -34,12 +37,17 @@ def _per_file(files: DataFrame, keys: list[str], schema: str, make: Callable[[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(full)
+        arrow, made, out, size = to_arrow_schema(full), Memo(make), [], 0
         for b in batches:
             for r in b.to_pylist():
-                made = make(r["text"])
-                if made:
-                    yield pa.RecordBatch.from_pylist([m | {k: r[k] for k in keys} for m in made], schema=arrow)
+                out += [m | {k: r[k] for k in keys} for m in made(r["text"])]
+                size += len(r["text"])
+                if len(out) >= _ROWS or size >= _CHARACTERS:  # small files share a batch
+                    if out:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return rows.mapInArrow(run, full)
 
@@ -256,9 +264,18 @@ def _parts(text: str) -> list[dict]:
 
 
 def source_parts(files: DataFrame, keys: list[str]) -> DataFrame:
-    """What features are made of: (keys, text, types, empty, identifiers, properties, strings, numbers, formatted)."""
-    parts = _per_file(files, keys, "types array<string>, empty boolean, identifiers array<string>, properties array<string>, strings array<string>, numbers array<string>, formatted string", _parts)
-    return files.select(*keys, "text").join(parts, keys)
+    """What features are made of: (keys, text, types, empty, identifiers, properties, strings, numbers, formatted).
+
+    Files without a key have no row; the text of a null one is empty.
+    """
+    keyed = files.dropna(subset=keys)
+    return _per_file(keyed, keys, "text string, types array<string>, empty boolean, identifiers array<string>, properties array<string>, strings array<string>, numbers array<string>, formatted string", lambda t: [p | {"text": t} for p in _parts(t)])
+
+
+def _codes(files: DataFrame, key: str) -> DataFrame:
+    """O1: (key, codes): the codes of each file's units."""
+    types = _per_file(files.dropna(subset=[key]), [key], "types array<string>", lambda t: [{"types": [n.type for n in js.parse(t).walk()]}])
+    return types.select(key, features.unit_codes(F.col("types")).alias("codes"))
 
 
 def lexical(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -273,10 +290,9 @@ def lexical(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def feature_table(files: DataFrame, key: str, dictionary: DataFrame, n: int = 3) -> DataFrame:
     """(key, lexical, shares): shares is a map of gram index to share. Files of fewer than n nodes have no row."""
-    parts = source_parts(files, [key])
-    counts = features.gram_counts(parts.select(key, features.unit_codes(F.col("types")).alias("codes")), key, "codes", n)
+    counts = features.gram_counts(_codes(files, key), key, "codes", n)
     shares = features.gram_index(counts, key, dictionary, n).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "share"))).alias("shares"))
-    return lexical(parts, [key]).join(shares, key)
+    return lexical(source_parts(files, [key]), [key]).join(shares, key)
 
 
 def learn_dictionary(files: DataFrame, key: str, n: int = 3) -> DataFrame:
@@ -284,9 +300,8 @@ def learn_dictionary(files: DataFrame, key: str, n: int = 3) -> DataFrame:
 
     A dictionary holds as many grams as a vector has places; ranks are given to these alone.
     """
-    parts = source_parts(files, [key])
-    counts = features.gram_counts(parts.select(key, features.unit_codes(F.col("types")).alias("codes")), key, "codes", n)
-    first = counts.groupBy("gram").agg(F.min(F.struct(key, "position")).alias("at")).orderBy("at").limit(features.vector_size(n))
+    places = _codes(files, key).select(key, F.posexplode(features.grams(F.col("codes"), n)).alias("position", "one"))
+    first = places.groupBy(features.gram_name(F.col("one")).alias("gram")).agg(F.min(F.struct(key, "position")).alias("at")).orderBy("at").limit(features.vector_size(n))
     return first.select("gram", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("idx"))
 
 
