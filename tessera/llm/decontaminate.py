@@ -10,6 +10,8 @@
    has fewer directions than a large block has item windows, so cosines alone would lose items as the benchmark
    grows. A window with a word of an item's rare words is therefore a candidate for that item whatever its cosine:
    rare are so many of the least frequent words of the item that a passage without all of them cannot cover enough.
+   All windows whose words reach a rare one are compared, so what is found, and its lcs and answer, does not depend on
+   the documents that the space is fitted on; the reported cosine does.
 4. A candidate counts if the longest common subsequence of the item and the words around the window covers
    enough of the item, and of its answer where the benchmark has a column `answer`; without one there is nothing
    more to cover, and `answer` of the match is 1.
@@ -274,27 +276,57 @@ def search(index: Index, w: W.Words, cosine: float, lcs: float, answer: float) -
     windows[follows] += sums[follows + 1]
     near = _unit(windows) @ index.latent
     best: dict[tuple[int, int], dict] = {}
-    last, window, key, near_words = -1, -1, [], set()
     longest = max(map(len, index.keys))
-    close, (alike, column) = _rare_hits(index, w, dims, slot // STEP), np.nonzero(near >= cosine)
-    rows, items = np.append(alike, close[0]).tolist(), np.append(index.owner[column], close[1]).tolist()
     edges = np.searchsorted(index.owner, np.arange(len(index.keys) + 1))
-    for r, item in zip(rows, items, strict=True):  # each part by window, then item
-        d = int(doc[r])
-        if last != d:
-            key, last = w.key[w.of(d)].tolist(), d
+    done: set[tuple[int, int]] = set()
+
+    def verify(r: int, item: int, d: int, key: list[int]) -> None:
+        if (r, item) in done:
+            return
+        done.add((r, item))
         size, own, at = len(index.keys[item]), index.masks[item], int(starts[r] - w.first[d])
-        if window != r:
-            near_words, window = set(key[max(0, at - longest) : at + 2 * STEP + longest]), r
-        if len(own.keys() & near_words) + size - len(own) < lcs * size:
-            continue  # too few of its words are near
         around = key[max(0, at - size) : at + 2 * STEP + size]
         covered = common(own, size, around, lcs * size) / size
-        if covered >= lcs and covered > best.get((d, item), {"lcs": 0})["lcs"]:
+        former = best.get((d, item), {"lcs": 0, "answer": 0})
+        if covered >= lcs and covered >= former["lcs"]:
             answers = len(index.answers[item])
             found = common(index.answer_masks[item], answers, around) / answers if answers else 1.0
-            if found >= answer:
+            if found >= answer and (covered, found) > (former["lcs"], former["answer"]):
                 best[d, item] = {"item_id": index.item_ids[item], "cosine": float(near[r, edges[item] : edges[item + 1]].max()), "lcs": covered, "answer": found}
+
+    def candidates(rows: np.ndarray, items: np.ndarray, reach: int) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(window, item, text, its words) where enough of the item's words are near; by window, then item."""
+        last, window, key, every, near_words = -1, -1, [], set(), set()
+        enough: dict[int, bool] = {}
+        for r, item in zip(rows.tolist(), items.tolist(), strict=True):
+            d = int(doc[r])
+            if last != d:
+                key, last, enough = w.key[w.of(d)].tolist(), d, {}
+                every = set(key)
+            own, size = index.masks[item], len(index.keys[item])
+            if item not in enough:
+                enough[item] = len(own.keys() & every) + size - len(own) >= lcs * size
+            if not enough[item]:
+                continue
+            if window != r:
+                at, window = int(starts[r] - w.first[d]), r
+                near_words = set(key[max(0, at - reach * longest - (reach - 1) * 2 * STEP) : at + reach * (2 * STEP + longest)])
+            if len(own.keys() & near_words) + size - len(own) >= lcs * size:
+                yield r, item, d, key
+
+    alike, column = np.nonzero(near >= cosine)
+    for r, item, d, key in candidates(alike, index.owner[column], 1):
+        verify(r, item, d, key)
+    # of an item's passage some rare word is in the text, so the windows around each one are all that can match, whatever the cosine
+    for r, item, d, key in candidates(*_rare_hits(index, w, dims, slot // STEP), 2):
+        size = len(index.keys[item])
+        lo, hi = max(int(first[d]), r - (2 * STEP - 1 + size) // STEP), min(int(first[d + 1]) - 1, r + (STEP - 1 + size) // STEP)
+        if all((k, item) in done for k in range(lo, hi + 1)):
+            continue
+        stretch = key[max(0, int(starts[lo] - w.first[d]) - size) : int(starts[hi] - w.first[d]) + 2 * STEP + size]
+        if common(index.masks[item], size, stretch, lcs * size) >= lcs * size:
+            for k in range(lo, hi + 1):
+                verify(k, item, d, key)
     for (d, _), match in best.items():
         out[d].append(match)
     return out
