@@ -23,6 +23,8 @@ from tessera.session import Tables, ship
 LARGE = 200_000
 #: Rows of small packages that leave a task together.
 _ROWS = 1000
+#: Result rows that a task keeps for packages with equal rows; packages of a hundredth of it and less are compared.
+HELD = 20_000
 # Labels of dependence edges that say nothing.
 EMPTY_LABELS = ("DDG: ", "CDG: ", "DDG: this")
 
@@ -141,12 +143,15 @@ def callees(edges: DataFrame) -> DataFrame:
 def by_package(tables: dict[str, DataFrame], walk: Callable[[dict[str, list[dict]]], Iterable[dict]], schema: str) -> DataFrame:
     """walk(rows of each table) for each package; its dicts, with the package added, make the result.
 
-    All tables of a package meet in one task: one shuffle on package serves them all.
+    All tables of a package meet in one task: one shuffle on package serves them all. Of packages of a task with equal
+    rows one is walked, as long as the results fit in HELD rows; a row's place in its table means nothing. Columns that a
+    dict lacks are null.
     """
     from pyspark.sql.types import _parse_datatype_string
 
     first = next(iter(tables.values()))
-    ship(first.sparkSession)
+    spark = first.sparkSession
+    ship(spark)
     parts = []
     for name, df in tables.items():
         rest = [c for c in df.columns if c != "package"]
@@ -160,32 +165,62 @@ def by_package(tables: dict[str, DataFrame], walk: Callable[[dict[str, list[dict
     names, arrow = list(tables), _arrow(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
         import json
 
-        def packages() -> Iterator[tuple[object, dict[str, list[dict]]]]:
+        results: dict[bytes, list[dict]] = {}
+        kept = 0
+
+        def packages() -> Iterator[tuple[object, list[tuple[str, str]]]]:
             key, held = None, None
             for b in batches:
                 for package, t, r in zip(*(b.column(c).to_pylist() for c in ("package", "t", "r")), strict=True):
                     if held is None or package != key:
                         if held is not None:
                             yield key, held
-                        key, held = package, {n: [] for n in names}
-                    held[t].append(json.loads(r))
+                        key, held = package, []
+                    held.append((t, r))
             if held is not None:
                 yield key, held
 
+        def result(held: list[tuple[str, str]]) -> Iterable[dict]:
+            nonlocal results, kept
+            same = None
+            if len(held) <= HELD // 100:
+                held.sort()
+                same = hashlib.blake2b("\n".join(x for pair in held for x in pair).encode("utf-8", "surrogatepass"), digest_size=20).digest()  # JSON has no line breaks
+                if same in results:
+                    return results[same]
+            of: dict[str, list[dict]] = {n: [] for n in names}
+            for t, r in held:
+                of[t].append(json.loads(r))
+            if same is None:
+                return walk(of)
+            made = list(walk(of))
+            if kept > HELD:
+                results, kept = {}, 0
+            if len(made) <= HELD // 100:
+                results[same] = made
+                kept += len(made) + 1
+            return made
+
+        def batch(out: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x.get(f.name) for x in out], f.type) for f in arrow], schema=arrow)
+
         out: list[dict] = []
         for package, held in packages():
-            for x in walk(held):
+            for x in result(held):
                 out.append(x | {"package": package})
                 if len(out) == _ROWS:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    yield batch(out)
                     out = []
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            yield batch(out)
 
-    # packages are many and small: they share batches, a batch for each would cost more than the walk
-    return rows.repartition("package").sortWithinPartitions("package").mapInArrow(run, full).select("package", *[f.name for f in out_schema.fields])
+    # packages are many and small: they share batches, a batch for each would cost more than the walk. A walk costs more
+    # than the bytes of its rows tell, so tasks are not to be fewer where these are few
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "package").sortWithinPartitions("package").mapInArrow(run, full).select("package", *[f.name for f in out_schema.fields])
 
 
 def _arrow(schema) -> pa.Schema:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tessera.functions import features
 from tessera.operators import ast, graph, kb, report, resolve
@@ -546,6 +549,7 @@ def _shaped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Tables of a package for each part: cpg_nodes, cpg_edges, methods, pdg_nodes, pdg_edges, files, manifests, kb."""
     p = F.col("p_partkey")
     parts = table(spark, sf_dir, "part").select(p.alias("package"), (p % 10).cast("int").alias("shape"), F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("M"), F.concat(F.lit("f"), (p * 7 % 23).cast("string")).alias("F"))
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "package")  # each becomes some thirty rows
     nodes: list[tuple] = []  # shape, method, node, label or None (no node of the method's graph), name, code, line, further attribute
     edges: list[tuple] = []  # shape, src, dst, label: of the property graph
     steps: list[tuple] = []  # shape, method, src, dst, label
@@ -613,12 +617,13 @@ def _shaped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     chain(8, 4, 4, 95)
 
     filled = lambda c: F.replace(F.replace(F.col(c), F.lit("M"), F.col("M")), F.lit("F"), F.col("F"))
-    rows = spark.createDataFrame([(s, m, n, kind, name, code, line, more, k) for k, (s, m, n, kind, name, code, line, more) in enumerate(nodes)], "shape int, method_id long, node_id long, label string, name string, code string, line long, more map<string,string>, seq long").join(parts, "shape")
+    few = lambda made, schema: F.broadcast(spark.createDataFrame(pa.table(list(zip(*made, strict=True)), schema=to_arrow_schema(_parse_datatype_string(schema)))))
+    rows = parts.join(few([(s, m, n, kind, name, code, line, list(more.items()), k) for k, (s, m, n, kind, name, code, line, more) in enumerate(nodes)], "shape int, method_id long, node_id long, label string, name string, code string, line long, more map<string,string>, seq long"), "shape")
     rows = rows.withColumns({"n": F.when(F.col("name").isin("F"), F.col("F")).otherwise(F.col("name")), "c": F.when(F.col("label") == "METHOD", F.col("code")).otherwise(filled("code"))})
     attr = F.map_concat(F.create_map(F.lit("label"), "label", F.lit("NAME"), "n", F.lit("CODE"), "c", F.lit("LINE_NUMBER"), F.col("line").cast("string")), "more")
-    arcs = spark.createDataFrame([(*e, k) for k, e in enumerate(edges)], "shape int, src long, dst long, label string, seq long").join(parts.select("package", "shape"), "shape")
-    ways = spark.createDataFrame([(*e, k) for k, e in enumerate(steps)], "shape int, method_id long, src long, dst long, label string, seq long").join(parts.select("package", "shape"), "shape")
-    owned = spark.createDataFrame(methods, "shape int, method_id long, name string, full_name string, file_name string").join(parts.select("package", "shape"), "shape")
+    arcs = parts.select("package", "shape").join(few([(*e, k) for k, e in enumerate(edges)], "shape int, src long, dst long, label string, seq long"), "shape")
+    ways = parts.select("package", "shape").join(few([(*e, k) for k, e in enumerate(steps)], "shape int, method_id long, src long, dst long, label string, seq long"), "shape")
+    owned = parts.select("package", "shape").join(few(methods, "shape int, method_id long, name string, full_name string, file_name string"), "shape")
     base = table(spark, sf_dir, "part").select(F.lit("npm").alias("eco"), F.when(p % 50 % 2 == 0, "builtin").otherwise("third").alias("kind"), p.alias("id"), F.concat(F.lit("m"), (p % 50).cast("string")).alias("package"), F.concat(F.lit("f"), (p % 23).cast("string")).alias("name"), F.when(p % 7 == 0, F.lit(None).cast("string")).when(p % 5 == 0, "Others").when(p % 3 == 0, "12-23").otherwise((p % 39 + 1).cast("string")).alias("category"))
     subs = base.filter("kind = 'builtin'").select("eco", "kind", "id", F.concat("package", F.lit(".sub")).alias("package"), "name", F.lit("5").alias("category"))
     return {
@@ -645,7 +650,7 @@ SELECT package, CAST(90 AS BIGINT) AS node, categories FROM c WHERE categories N
 def n10_classified_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import behaviour
 
-    nodes, _ = behaviour.described(behaviour.behaviour(**_shaped(spark, sf_dir)))
+    nodes, _ = behaviour.described(behaviour.behaviour(**_shaped(spark, sf_dir), what=["node"]))
     return nodes.filter("categories IS NOT NULL").select("package", "node", F.array_join("categories", "-").alias("categories"))
 
 
@@ -656,7 +661,7 @@ _CHAINS = {0: [(1, 10), (10, 90)], 1: [(1, 10), (10, 90)], 2: [(1, 10), (10, 20)
 def b1_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import behaviour
 
-    _, edges = behaviour.described(behaviour.behaviour(**_shaped(spark, sf_dir)))
+    _, edges = behaviour.described(behaviour.behaviour(**_shaped(spark, sf_dir), what=["edge"]))
     return edges.select("package", "phase", "src", "dst")
 
 
@@ -671,4 +676,4 @@ UNION ALL SELECT package, 'builtin', m || '.sub', f FROM w WHERE shape = 9 AND b
 def s21_missing_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import behaviour
 
-    return behaviour.behaviour(**_shaped(spark, sf_dir)).filter("what = 'miss'").select("package", "kind", "qualifier", "name")
+    return behaviour.behaviour(**_shaped(spark, sf_dir), what=["miss"]).select("package", "kind", "qualifier", "name")
