@@ -1,7 +1,7 @@
 """Operator 6, benchmark decontamination by latent semantic retrieval.
 
 1. Words (lower case, letters and digits) are hashed to DIMENSIONS; document frequencies come from all documents.
-2. Texts are cut into windows of 2 * STEP words, one every STEP words. The TF-IDF windows of a bounded sample of
+2. Texts are cut into windows of 2 * STEP words, one every STEP words. The TF-IDF windows of all
    documents and of all benchmark items make a matrix whose right singular space is found by randomised
    subspace iteration: each task multiplies its rows, blocks of the products are summed by Spark, and the driver
    only orthogonalises a DIMENSIONS x (skip + rank + 8) matrix. Items are weighted up to `share` of the energy, since they
@@ -11,12 +11,12 @@
    grows. A window with a word of an item's rare words is therefore a candidate for that item whatever its cosine:
    rare are so many of the least frequent words of the item that a passage without all of them cannot cover enough.
    All windows whose words reach a rare one are compared, so what is found, and its lcs and answer, does not depend on
-   the documents that the space is fitted on; the reported cosine does.
+   the space; the reported cosine does.
 4. A candidate counts if the longest common subsequence of the item and the words around the window covers
    enough of the item, and of its answer where the benchmark has a column `answer`; without one there is nothing
    more to cover, and `answer` of the match is 1.
 
-The benchmark is the stated query set. One space is fitted, on all items or, beyond `block` of them, on `block` picked by a hash.
+The benchmark is the stated query set. One space is fitted, on all documents and items.
 Items are searched in blocks of `block`, so what goes to the tasks is bounded. One block is searched in one pass over the
 documents; of more, each is a job of its own, whose matches are written before the next one starts.
 
@@ -63,12 +63,12 @@ def _dims(key: np.ndarray) -> np.ndarray:
     return (key % np.uint64(DIMENSIONS)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that have a word of each dimension, and the number of documents."""
+def frequencies(docs: DataFrame, least: int = 1) -> tuple[np.ndarray, int, int]:
+    """Documents that have a word of each dimension, the number of documents, and of windows of those of `least` words and more."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        total, n = np.zeros(DIMENSIONS, np.int64), 0
+        total, n, windows = np.zeros(DIMENSIONS, np.int64), 0, 0
         for b in rows:
             data, offsets = W.buffers(b.column("text"))
             n += b.num_rows
@@ -76,69 +76,132 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 w = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 doc = np.repeat(np.arange(hi - lo), np.diff(w.first))
                 total += np.bincount(np.unique(doc * DIMENSIONS + _dims(w.key)) % DIMENSIONS, minlength=DIMENSIONS)
+                long = np.diff(w.first)
+                windows += int(np.maximum(1, -(-long[long >= least] // STEP) - 1).sum())
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["dim", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [n, windows]))], ["dim", "n"])
 
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toArrow()  # DIMENSIONS + 1 rows at most
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toArrow()  # DIMENSIONS + 2 rows at most
     dim, n = (got.column(c).to_numpy() for c in ("dim", "n"))
     out = np.zeros(DIMENSIONS, np.int64)
     out[dim[dim >= 0]] = n[dim >= 0]
-    return out, int(n[dim < 0].sum())
+    return out, int(n[dim == -1].sum()), int(n[dim == -2].sum())
 
 
 def _windows(key: np.ndarray) -> list[np.ndarray]:
     return [key[i : i + 2 * STEP] for i in range(0, max(1, len(key) - STEP), STEP)] if len(key) else []
 
 
-def _spread(windows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(dimension, value, window starts) of TF-IDF windows of unit length."""
-    dims = [_dims(w) for w in windows]
-    values = [idf[d] / max(1e-9, np.sqrt((idf[d] ** 2).sum())) for d in dims]
-    return np.concatenate(dims), np.concatenate(values).astype(np.float32), np.cumsum([0, *map(len, dims)])[:-1]
+def _projection(basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """idf times basis, and a row of zeros."""
+    return np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
 
 
-def _gram(windows: list[np.ndarray], weight: float, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A' A basis of the windows' TF-IDF rows A."""
-    out = np.zeros_like(basis)
-    for at in range(0, len(windows), 2000):
-        dims, values, starts = _spread(windows[at : at + 2000], idf)
-        y = np.add.reduceat(basis[dims] * values[:, None], starts, axis=0)
-        np.add.at(out, dims, np.repeat(y, np.diff(np.append(starts, len(dims))), axis=0) * (values * weight)[:, None])
-    return out
+def _joined(keys: list[np.ndarray]) -> W.Words:
+    """Texts of which only the hashes of their words are known."""
+    none = np.zeros(0, np.int64)
+    return W.Words(none, none, none, np.concatenate([np.zeros(0, np.uint64), *keys]), np.cumsum([0, *map(len, keys)]))
+
 
+def _sums(values: np.ndarray, rows: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the next so many `rows` of values, whose last row is zero, for each of counts, all above 0.
 
-def singular_space(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, skip: int, share: float, rounds: int, seed: int) -> np.ndarray:
-    """DIMENSIONS x rank: right singular vectors of the sample's and the items' windows, but for the first `skip`.
+    By multiplying stacks of `size` rows, of whose sums again stacks are made: ufunc.reduceat takes many times as long.
+    """
+    out, ids, ones = np.empty((len(counts), values.shape[1]), np.float32), np.arange(len(counts)), np.ones((1, size), np.float32)
+    while True:
+        groups = -(-counts // size)
+        first = np.cumsum(groups) - groups
+        slots = np.full(int(groups.sum()) * size, len(values) - 1)
+        slots[np.repeat(first * size - np.cumsum(counts) + counts, counts) + np.arange(len(rows))] = rows
+        values = np.matmul(ones, values.take(slots, axis=0).reshape(-1, size, values.shape[1]))[:, 0]
+        one = groups == 1
+        out[ids[one]] = values[first[one]]
+        if one.all():
+            return out
+        rows, ids, counts = np.flatnonzero(np.repeat(~one, groups)), ids[~one], groups[~one]
+        values = np.vstack([values, np.zeros((1, values.shape[1]), np.float32)])
+
+
+def gram(w: W.Words, least: int, idf: np.ndarray, project: np.ndarray, total: np.ndarray) -> None:
+    """Adds A' A basis to total, but for a factor idf of each row: A the TF-IDF windows, of unit length, of texts of `least` words and more.
+
+    A window is two blocks of STEP words, or a whole text of one block. project: idf times basis, and a row of zeros.
+    """
+    long = np.diff(w.first)
+    dims = _dims(w.key)
+    if (long < least).any():
+        dims = dims[np.repeat(long >= least, long)]
+        long = long[long >= least]
+    long = long[long > 0]
+    if not len(long):
+        return
+    blocks = -(-long // STEP)
+    last = np.cumsum(blocks) - 1
+    n = int(last[-1]) + 1
+    sizes = np.full(n, STEP)
+    sizes[last] = long - (blocks - 1) * STEP
+    at = np.cumsum(sizes) - sizes
+    sums, squares = _sums(project, dims, sizes, STEP), np.add.reduceat(idf[dims] ** 2, at)
+    follows = np.ones(n, bool)  # a block of the same text follows
+    follows[last] = False
+    before = np.flatnonzero(follows)
+    both, norm = np.vstack([sums, np.zeros((1, sums.shape[1]), np.float32)]), squares.copy()
+    both[before] += sums[before + 1]
+    norm[before] += squares[before + 1]
+    both[:n] /= np.maximum(1e-18, norm)[:, None]
+    both[last[blocks > 1]] = 0  # the last of several blocks starts no window
+    both[before + 1] += both[before]  # of a text each block gets the window that it starts and the one before
+    order = np.argsort(dims.astype(np.int16), kind="stable")  # sixteen bits: sorted by radix
+    starts = np.flatnonzero(np.diff(dims[order], prepend=-1))
+    total[dims[order[starts]]] += _sums(both, np.repeat(np.arange(n), sizes)[order], np.diff(starts, append=len(dims)), 4)
+
+
+def singular_space(docs: DataFrame, windows: int, items: DataFrame | list[np.ndarray], own: int, least: int, idf: np.ndarray, rank: int, skip: int, share: float, rounds: int, seed: int) -> np.ndarray:
+    """DIMENSIONS x rank: right singular vectors of the documents' and the items' windows, but for the first `skip`.
 
     The first ones tell languages apart and hold what all texts share; they make unlike texts look alike. Few items
     have few such directions: at most one for 25 windows is left out.
-    sample: (keys binary).
+    docs: (text). windows, own: of the documents and of the items of `least` words and more. items: (text), or their words.
     """
-    own = [w for k in items for w in _windows(k)]
     if not own:
         return np.zeros((DIMENSIONS, rank), np.float32)
-    skip = min(skip, len(own) // 25)
-    n = sample.agg(F.sum(F.greatest(F.lit(0), F.ceil(F.octet_length("keys") / (8 * STEP)) - 1)).alias("n")).first()["n"] or 0
-    weight = max(1.0, float(n)) / len(own) * share / (1 - share)
+    skip = min(skip, own // 25)
+    weight = max(1.0, float(windows)) / own * share / (1 - share)
     width = skip + rank + 8
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((DIMENSIONS, width), np.float32))[0]
 
-    def multiply(basis: np.ndarray):
+    few = 2 * docs.sparkSession.sparkContext.defaultParallelism  # each task sends a whole matrix, so tasks don't grow with the documents
+    docs = docs.coalesce(few)
+
+    def multiply(basis: np.ndarray, weight: float, least: int):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(basis)
+            lean()
+            project, total = _projection(basis, idf), np.zeros_like(basis)
             for b in rows:
-                total += _gram([w for raw in b.column("keys") for w in _windows(np.frombuffer(raw.as_py(), np.uint64))], 1.0, idf, basis)
+                data, offsets = W.buffers(b.column("text"))
+                for lo, hi in W.runs(offsets, RUN):
+                    gram(_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), least, idf, project, total)
+            total *= (idf * np.float32(weight))[:, None]
             yield pa.RecordBatch.from_arrays([pa.array(range(0, DIMENSIONS, _BLOCK), pa.int64()), pa.array([total[i : i + _BLOCK].tobytes() for i in range(0, DIMENSIONS, _BLOCK)], pa.binary())], ["at", "part"])
 
         return run
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table.column("part"))
+        total = np.zeros(_BLOCK * width)
+        for x in table.column("part"):
+            total += np.frombuffer(x.as_buffer(), np.float32)
         return pa.table({"at": table.column("at").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     for k in range(rounds):
-        product = _gram(own, weight, idf, basis)
-        for r in sample.mapInArrow(multiply(basis), "at long, part binary").groupBy("at").applyInArrow(add, "at long, part binary").collect():  # one matrix in all
+        parts = docs.mapInArrow(multiply(basis, 1.0, 1), "at long, part binary")
+        product = np.zeros_like(basis)
+        if isinstance(items, list):
+            gram(_joined(items), least, idf, _projection(basis, idf), product)
+            product *= (idf * np.float32(weight))[:, None]
+        else:
+            parts = parts.unionByName(items.coalesce(few).mapInArrow(multiply(basis, weight, least), "at long, part binary"))
+        for r in parts.groupBy("at").applyInArrow(add, "at long, part binary").collect():  # one matrix in all
             product[r["at"] : r["at"] + _BLOCK] += np.frombuffer(r["part"], np.float32).reshape(-1, width)
         if k + 1 < rounds:
             basis = np.linalg.qr(product)[0]
@@ -349,18 +412,18 @@ def scan(docs: DataFrame, index: Index, cosine: float, lcs: float, answer: float
     return docs.select(columns).mapInArrow(run, schema).withColumnRenamed("__found", "matches")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, rank: int = 64, skip: int = 8, cosine: float = 0.5, lcs: float = 0.7, answer: float = 0.5, least_words: int = 5, sample_documents: int = 2000, share: float = 0.8, block: int = 4096, rounds: int = 3, seed: int = 11) -> DataFrame:
-    """The documents with column matches: (item_id, cosine, lcs, answer) of each item found in them."""
-    docs = docs.drop("matches")
-    frequency, n = frequencies(docs)
-
-    def keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([_keys(t.as_py() or "").tobytes() for t in b.column("text")], pa.binary())], ["keys"])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, rank: int = 64, skip: int = 8, cosine: float = 0.5, lcs: float = 0.7, answer: float = 0.5, least_words: int = 5, sample_documents: int | None = None, share: float = 0.8, block: int = 4096, rounds: int = 3, seed: int = 11) -> DataFrame:
+    """The documents with column matches: (item_id, cosine, lcs, answer) of each item found in them.
 
-    # only the singular space is fitted on this sample; frequencies and the search cover all documents
-    picked = F.pmod(F.xxhash64("text"), F.lit(_MODULUS)) < math.ceil(_MODULUS * min(1.0, sample_documents / max(1, n)))
-    sample = scratch.keep(docs.filter(picked).select(F.col("text").cast("string").alias("text")).mapInArrow(keyed, "keys binary"), "sample")
+    The space is fitted on all documents and items; on about `sample_documents` documents where that is given.
+    """
+    docs = docs.drop("matches")
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    frequency, n, windows = frequencies(docs)
+    fitted = texts
+    if sample_documents is not None:  # only the singular space is fitted on these; frequencies and the search cover all documents
+        fitted = scratch.keep(texts.filter(F.pmod(F.xxhash64("text"), F.lit(_MODULUS)) < math.ceil(_MODULUS * min(1.0, sample_documents / max(1, n)))), "sample")
+        windows = frequencies(fitted)[2]
     answers = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), answers.alias("answer"))
     blocks = max(1, -(-items.count() // block))
@@ -369,19 +432,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, rank:
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         return code([tuple(r) for r in rows.orderBy("item_id", "text").collect()])  # about `block` items
 
-    first = some(0)  # a block is picked by a hash, so any one will do for fitting
     idf = (np.log((n + 1) / (frequency + 1)) + 0.05).astype(np.float32)
-    space = singular_space(sample, [k for _, k, _ in first if len(k) >= least_words], idf, rank, skip, share, rounds, seed)
+    if blocks == 1:
+        first = some(0)
+        given = [k for _, k, _ in first if len(k) >= least_words]
+        own = sum(max(1, -(-len(k) // STEP) - 1) for k in given)
+    else:
+        given = items.select("text")
+        own = frequencies(given, least_words)[2]
+    space = singular_space(fitted, windows, given, own, least_words, idf, rank, skip, share, rounds, seed)
 
     def searched(rows: DataFrame, coded: list[tuple[int, np.ndarray, np.ndarray]]) -> DataFrame:
         return scan(rows, build(coded, space, idf, frequency, least_words, lcs), cosine, lcs, answer)
 
     if blocks == 1:
         return searched(docs, first)
-    texts = docs.select(F.col("doc_id").cast("long").alias("__i"), F.xxhash64("text").alias("__h"), F.col("text").cast("string").alias("text"))
+    rows_of = docs.select(F.col("doc_id").cast("long").alias("__i"), F.xxhash64("text").alias("__h"), F.col("text").cast("string").alias("text"))
     found = None
     for k in range(blocks):
-        part = scratch.keep(searched(texts, some(k)).filter(F.size("matches") > 0).select("__i", "__h", "matches").distinct(), "found")
+        part = scratch.keep(searched(rows_of, some(k)).filter(F.size("matches") > 0).select("__i", "__h", "matches").distinct(), "found")
         found = part if found is None else found.unionByName(part)
     found = found.groupBy("__i", "__h").agg(F.flatten(F.collect_list("matches")).alias("matches"))
     rows = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__h": F.xxhash64("text")}).alias("d")
