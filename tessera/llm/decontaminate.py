@@ -1,6 +1,7 @@
 """Operator 6, benchmark decontamination by latent semantic retrieval.
 
-1. Words (lower case, letters and digits) are hashed to DIMENSIONS; document frequencies come from all documents.
+1. Words (lower case, letters and digits) are hashed to DIMENSIONS, which are written once, two bytes a word; document
+   frequencies come from all documents.
 2. Texts are cut into windows of 2 * STEP words, one every STEP words. The TF-IDF windows of all
    documents and of all benchmark items make a matrix whose right singular space is found by randomised
    subspace iteration: each task multiplies its rows, blocks of the products are summed by Spark, and the driver
@@ -46,6 +47,10 @@ MATCH = T.ArrayType(T.StructType().add("item_id", "long").add("cosine", "double"
 _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
 #: Bytes of text that are projected at once.
 RUN = 1 << 19
+#: Words whose windows are multiplied at once.
+_WORDS = 1 << 18
+#: Rows that are added to each other at once; they and their sums stay in the processor's cache.
+_ROWS = 512
 _BLOCK = 1024
 _MODULUS = 1 << 40
 
@@ -63,25 +68,59 @@ def _dims(key: np.ndarray) -> np.ndarray:
     return (key % np.uint64(DIMENSIONS)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame, least: int = 1) -> tuple[np.ndarray, int, int]:
-    """Documents that have a word of each dimension, the number of documents, and of windows of those of `least` words and more."""
+def coded(texts: DataFrame) -> DataFrame:
+    """Column dims: of each text the dimensions of its words, two bytes each. texts: (text)."""
 
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        total, n, windows = np.zeros(DIMENSIONS, np.int64), 0, 0
         for b in rows:
             data, offsets = W.buffers(b.column("text"))
-            n += b.num_rows
+            dims, sizes = [np.zeros(0, "<u2")], [np.zeros(1, np.int64)]
             for lo, hi in W.runs(offsets, RUN):
                 w = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                doc = np.repeat(np.arange(hi - lo), np.diff(w.first))
-                total += np.bincount(np.unique(doc * DIMENSIONS + _dims(w.key)) % DIMENSIONS, minlength=DIMENSIONS)
-                long = np.diff(w.first)
+                dims.append(_dims(w.key).astype("<u2"))
+                sizes.append(np.diff(w.first))
+            ends = 2 * np.cumsum(np.concatenate(sizes))  # no more than the bytes of the texts
+            column = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.concatenate(dims))])
+            yield pa.RecordBatch.from_arrays([column], ["dims"])
+
+    return texts.mapInArrow(run, "dims binary")
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(dimensions, words of each text) of about _WORDS words of a column made by coded()."""
+    if not len(column):
+        return
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    body = column.buffers()[2]
+    dims = (np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)).view("<u2")
+    first = (offsets - offsets[0]) // 2
+    for lo, hi in W.runs(first, _WORDS):
+        yield dims[first[lo] : first[hi]], np.diff(first[lo : hi + 1])
+
+
+def _by_dimension(dims: np.ndarray) -> np.ndarray:
+    return np.argsort(dims.astype(np.int16), kind="stable")  # sixteen bits: sorted by radix
+
+
+def frequencies(words: DataFrame, least: int = 1) -> tuple[np.ndarray, int, int]:
+    """Texts that have a word of each dimension, the number of texts, and of windows of those of `least` words and more. words: of coded()."""
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        total, n, windows = np.zeros(DIMENSIONS, np.int64), 0, 0
+        for b in rows:
+            n += b.num_rows
+            for dims, long in _runs(b.column("dims")):
+                order = _by_dimension(dims)
+                some, text = dims[order].astype(np.int64), np.repeat(np.arange(len(long)), long)[order]
+                total += np.bincount(some[(np.diff(some, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0)], minlength=DIMENSIONS)
                 windows += int(np.maximum(1, -(-long[long >= least] // STEP) - 1).sum())
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [n, windows]))], ["dim", "n"])
 
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toArrow()  # DIMENSIONS + 2 rows at most
+    got = words.mapInArrow(count, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toArrow()  # DIMENSIONS + 2 rows at most
     dim, n = (got.column(c).to_numpy() for c in ("dim", "n"))
     out = np.zeros(DIMENSIONS, np.int64)
     out[dim[dim >= 0]] = n[dim >= 0]
@@ -93,8 +132,7 @@ def _windows(key: np.ndarray) -> list[np.ndarray]:
 
 
 def _projection(basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """idf times basis, and a row of zeros."""
-    return np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
+    return basis * idf[:, None]
 
 
 def _joined(keys: list[np.ndarray]) -> W.Words:
@@ -103,33 +141,50 @@ def _joined(keys: list[np.ndarray]) -> W.Words:
     return W.Words(none, none, none, np.concatenate([np.zeros(0, np.uint64), *keys]), np.cumsum([0, *map(len, keys)]))
 
 
-def _sums(values: np.ndarray, rows: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the next so many `rows` of values, whose last row is zero, for each of counts, all above 0.
+def _sums(values: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the next so many `rows` of values, for each of counts, all above 0.
 
-    By multiplying stacks of `size` rows, of whose sums again stacks are made: ufunc.reduceat takes many times as long.
+    Of many stretches of at most STEP rows the first rows are copied together, then the second ones added to them, and so
+    on, without a copy of all rows; sums of stretches are summed again. ufunc.reduceat takes many times as long.
     """
-    out, ids, ones = np.empty((len(counts), values.shape[1]), np.float32), np.arange(len(counts)), np.ones((1, size), np.float32)
-    while True:
-        groups = -(-counts // size)
-        first = np.cumsum(groups) - groups
-        slots = np.full(int(groups.sum()) * size, len(values) - 1)
-        slots[np.repeat(first * size - np.cumsum(counts) + counts, counts) + np.arange(len(rows))] = rows
-        values = np.matmul(ones, values.take(slots, axis=0).reshape(-1, size, values.shape[1]))[:, 0]
-        one = groups == 1
-        out[ids[one]] = values[first[one]]
-        if one.all():
-            return out
-        rows, ids, counts = np.flatnonzero(np.repeat(~one, groups)), ids[~one], groups[~one]
-        values = np.vstack([values, np.zeros((1, values.shape[1]), np.float32)])
+    stretches = -(-counts // STEP)
+    last = np.cumsum(stretches) - 1
+    n = int(stretches.sum())
+    long = np.full(n, STEP)
+    long[last] = counts - (stretches - 1) * STEP
+    order = np.argsort((STEP - long).astype(np.int8), kind="stable")
+    first = (np.cumsum(long) - long)[order]
+    longer = np.cumsum(np.bincount(long, minlength=STEP + 1)[::-1])[::-1]  # stretches of so many rows and more
+    out = np.empty((n, values.shape[1]), values.dtype)
+    total, more = np.empty((2, min(n, _ROWS), values.shape[1]), values.dtype)
+    for lo in range(0, n, _ROWS):
+        at = first[lo : lo + _ROWS]
+        np.take(values, rows[at], axis=0, out=total[: len(at)], mode="clip")  # other modes copy once more
+        for k in range(1, STEP):
+            m = min(len(at), int(longer[k + 1]) - lo)
+            if m <= 0:
+                break
+            np.take(values, rows[at[:m] + k], axis=0, out=more[:m], mode="clip")
+            total[:m] += more[:m]
+        out[order[lo : lo + _ROWS]] = total[: len(at)]
+    if n == len(counts):
+        return out
+    many = stretches > 1
+    sums = out[last]
+    sums[many] = _sums(out, np.flatnonzero(np.repeat(many, stretches)), stretches[many])
+    return sums
 
 
 def gram(w: W.Words, least: int, idf: np.ndarray, project: np.ndarray, total: np.ndarray) -> None:
     """Adds A' A basis to total, but for a factor idf of each row: A the TF-IDF windows, of unit length, of texts of `least` words and more.
 
-    A window is two blocks of STEP words, or a whole text of one block. project: idf times basis, and a row of zeros.
+    A window is two blocks of STEP words, or a whole text of one block. project: idf times basis.
     """
-    long = np.diff(w.first)
-    dims = _dims(w.key)
+    _gram(_dims(w.key), np.diff(w.first), least, idf, project, total)
+
+
+def _gram(dims: np.ndarray, long: np.ndarray, least: int, idf: np.ndarray, project: np.ndarray, total: np.ndarray) -> None:
+    """gram() of texts of which dims are the words' dimensions and long the numbers of words."""
     if (long < least).any():
         dims = dims[np.repeat(long >= least, long)]
         long = long[long >= least]
@@ -142,19 +197,20 @@ def gram(w: W.Words, least: int, idf: np.ndarray, project: np.ndarray, total: np
     sizes = np.full(n, STEP)
     sizes[last] = long - (blocks - 1) * STEP
     at = np.cumsum(sizes) - sizes
-    sums, squares = _sums(project, dims, sizes, STEP), np.add.reduceat(idf[dims] ** 2, at)
+    sums, squares = _sums(project, dims, sizes), np.add.reduceat(idf[dims] ** 2, at)
     follows = np.ones(n, bool)  # a block of the same text follows
     follows[last] = False
     before = np.flatnonzero(follows)
-    both, norm = np.vstack([sums, np.zeros((1, sums.shape[1]), np.float32)]), squares.copy()
+    both, norm = sums.copy(), squares.copy()
     both[before] += sums[before + 1]
     norm[before] += squares[before + 1]
-    both[:n] /= np.maximum(1e-18, norm)[:, None]
+    both /= np.maximum(1e-18, norm)[:, None]
     both[last[blocks > 1]] = 0  # the last of several blocks starts no window
     both[before + 1] += both[before]  # of a text each block gets the window that it starts and the one before
-    order = np.argsort(dims.astype(np.int16), kind="stable")  # sixteen bits: sorted by radix
-    starts = np.flatnonzero(np.diff(dims[order], prepend=-1))
-    total[dims[order[starts]]] += _sums(both, np.repeat(np.arange(n), sizes)[order], np.diff(starts, append=len(dims)), 4)
+    order = _by_dimension(dims)
+    some = dims[order].astype(np.int64)
+    starts = np.flatnonzero(np.diff(some, prepend=-1))
+    total[some[starts]] += _sums(both, np.repeat(np.arange(n), sizes)[order], np.diff(starts, append=len(dims)))
 
 
 def singular_space(docs: DataFrame, windows: int, items: DataFrame | list[np.ndarray], own: int, least: int, idf: np.ndarray, rank: int, skip: int, share: float, rounds: int, seed: int) -> np.ndarray:
@@ -162,7 +218,7 @@ def singular_space(docs: DataFrame, windows: int, items: DataFrame | list[np.nda
 
     The first ones tell languages apart and hold what all texts share; they make unlike texts look alike. Few items
     have few such directions: at most one for 25 windows is left out.
-    docs: (text). windows, own: of the documents and of the items of `least` words and more. items: (text), or their words.
+    docs: of coded(). windows, own: of the documents and of the items of `least` words and more. items: of coded(), or their words.
     """
     if not own:
         return np.zeros((DIMENSIONS, rank), np.float32)
@@ -179,9 +235,8 @@ def singular_space(docs: DataFrame, windows: int, items: DataFrame | list[np.nda
             lean()
             project, total = _projection(basis, idf), np.zeros_like(basis)
             for b in rows:
-                data, offsets = W.buffers(b.column("text"))
-                for lo, hi in W.runs(offsets, RUN):
-                    gram(_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), least, idf, project, total)
+                for dims, long in _runs(b.column("dims")):
+                    _gram(dims, long, least, idf, project, total)
             total *= (idf * np.float32(weight))[:, None]
             yield pa.RecordBatch.from_arrays([pa.array(range(0, DIMENSIONS, _BLOCK), pa.int64()), pa.array([total[i : i + _BLOCK].tobytes() for i in range(0, DIMENSIONS, _BLOCK)], pa.binary())], ["at", "part"])
 
@@ -214,7 +269,7 @@ def singular_space(docs: DataFrame, windows: int, items: DataFrame | list[np.nda
 class Index:
     """Latent windows of a block of items, and what verification needs."""
 
-    project: np.ndarray  # DIMENSIONS + 1 x rank: idf times singular vectors, and zeros
+    project: np.ndarray  # DIMENSIONS x rank: idf times singular vectors
     latent: np.ndarray  # rank x windows, unit columns
     owner: np.ndarray  # item of each window
     item_ids: list[int]
@@ -225,14 +280,18 @@ class Index:
     rare_items: np.ndarray
     rare_dims: np.ndarray  # whether a dimension has a rare word
     short: list[tuple[int, np.ndarray]]  # items of a few words
+    known: np.ndarray = field(init=False)  # sorted words of all items
+    known_dims: np.ndarray = field(init=False)
     masks: list[dict[int, int]] = field(init=False)
     answer_masks: list[dict[int, int]] = field(init=False)
 
     def __post_init__(self) -> None:
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.keys]))
+        self.known_dims = _has(self.known)
         self.masks, self.answer_masks = [masks_of(k) for k in self.keys], [masks_of(k) for k in self.answers]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("masks", "answer_masks")}  # small on its way to the tasks
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "known_dims", "masks", "answer_masks")}  # small on its way to the tasks
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -243,15 +302,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
 
 
+def _has(words: np.ndarray) -> np.ndarray:
+    """Whether a dimension has one of the words."""
+    out = np.zeros(DIMENSIONS, bool)
+    out[_dims(words)] = True
+    return out
+
+
 def rare_words(keys: list[np.ndarray], frequency: np.ndarray, lcs: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, first, items, dimensions): of each item one word more than a passage that covers `lcs` of it may lack."""
     own = [np.unique(k[np.argsort(frequency[_dims(k)], kind="stable")[: len(k) - int(np.ceil(lcs * len(k) - 1e-9)) + 1]]) for k in keys]
     words, items = np.concatenate([np.zeros(0, np.uint64), *own]), np.repeat(np.arange(len(own)), [len(k) for k in own])
     order = np.argsort(words, kind="stable")
     rare, first = np.unique(words[order], return_index=True)
-    dims = np.zeros(DIMENSIONS, bool)
-    dims[_dims(rare)] = True
-    return rare, np.append(first, len(words)), items[order], dims
+    return rare, np.append(first, len(words)), items[order], _has(rare)
 
 
 def code(items: list[tuple[int, str, str | None]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -267,7 +331,7 @@ def build(coded: list[tuple[int, np.ndarray, np.ndarray]], space: np.ndarray, id
     project = space * idf[:, None]
     rank = space.shape[1]
     latent = _unit(np.array([project[_dims(w)].sum(axis=0) for _, w in windows], np.float32).reshape(len(windows), rank))
-    return Index(np.vstack([project, np.zeros((1, rank), np.float32)]), latent.T.copy(), np.array([n for n, _ in windows], np.int64), [c[0] for c in coded], [c[1] for c in coded], [c[2] for c in coded], *rare_words([c[1] for c in coded], frequency, lcs), short)
+    return Index(project, latent.T.copy(), np.array([n for n, _ in windows], np.int64), [c[0] for c in coded], [c[1] for c in coded], [c[2] for c in coded], *rare_words([c[1] for c in coded], frequency, lcs), short)
 
 
 def masks_of(pattern: np.ndarray) -> dict[int, int]:
@@ -290,12 +354,17 @@ def common(masks: dict[int, int], size: int, text: list[int], least: float = 0)
     return size - v.bit_count()
 
 
+def _places(words: np.ndarray, has: np.ndarray, w: W.Words, dims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, which one) of the sorted words in texts."""
+    at = np.flatnonzero(has[dims])
+    nth = np.minimum(np.searchsorted(words, w.key[at]), len(words) - 1)
+    same = words[nth] == w.key[at]
+    return at[same], nth[same]
+
+
 def _rare_hits(index: Index, w: W.Words, dims: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, item) of the rare words of items in texts, by window, then item."""
-    at = np.flatnonzero(index.rare_dims[dims])
-    nth = np.minimum(np.searchsorted(index.rare, w.key[at]), len(index.rare) - 1)
-    same = index.rare[nth] == w.key[at]
-    at, nth = at[same], nth[same]
+    at, nth = _places(index.rare, index.rare_dims, w, dims)
     n = index.rare_first[nth + 1] - index.rare_first[nth]
     items = index.rare_items[np.repeat(index.rare_first[nth] - np.cumsum(n) + n, n) + np.arange(n.sum())]
     pairs = np.unique(np.repeat(windows[at], n) * len(index.keys) + items)
@@ -330,10 +399,11 @@ def search(index: Index, w: W.Words, cosine: float, lcs: float, answer: float) -
     first = np.concatenate([[0], np.cumsum(blocks)])
     doc = np.repeat(np.arange(n_docs), blocks)
     starts = w.first[:-1][doc] + (np.arange(first[-1]) - first[:-1][doc]) * STEP
-    slots = np.full(int(first[-1]) * STEP, DIMENSIONS, np.int64)  # the row beyond the last is zero
-    dims, slot = _dims(w.key), (first[:-1] * STEP - w.first[:-1]).repeat(per) + np.arange(len(w.key))
-    slots[slot] = dims
-    sums = index.project[slots].reshape(-1, STEP, index.project.shape[1]).sum(axis=1)
+    sizes = np.full(len(doc), STEP)
+    some = blocks > 0
+    sizes[first[1:][some] - 1] = per[some] - (blocks[some] - 1) * STEP
+    dims = _dims(w.key)
+    sums = _sums(index.project, dims, sizes)
     follows = np.flatnonzero(np.arange(first[-1]) + 1 < first[doc + 1])
     windows = sums.copy()
     windows[follows] += sums[follows + 1]
@@ -342,6 +412,15 @@ def search(index: Index, w: W.Words, cosine: float, lcs: float, answer: float) -
     longest = max(map(len, index.keys))
     edges = np.searchsorted(index.owner, np.arange(len(index.keys) + 1))
     done: set[tuple[int, int]] = set()
+    known = _places(index.known, index.known_dims, w, dims)[0]
+    known_key = w.key[known]  # other words are of no item
+    known_before = np.zeros(len(w.key) + 1, np.int64)
+    known_before[known + 1] = 1
+    known_before = known_before.cumsum()
+
+    def items_words(lo: int, hi: int) -> set[int]:
+        """The words at these places that items have."""
+        return set(known_key[known_before[lo] : known_before[hi]].tolist())
 
     def verify(r: int, item: int, d: int, key: list[int]) -> None:
         if (r, item) in done:
@@ -359,29 +438,32 @@ def search(index: Index, w: W.Words, cosine: float, lcs: float, answer: float) -
 
     def candidates(rows: np.ndarray, items: np.ndarray, reach: int) -> Iterator[tuple[int, int, int, list[int]]]:
         """(window, item, text, its words) where enough of the item's words are near; by window, then item."""
-        last, window, key, every, near_words = -1, -1, [], set(), set()
-        enough: dict[int, bool] = {}
-        for r, item in zip(rows.tolist(), items.tolist(), strict=True):
-            d = int(doc[r])
+        pairs, nth = np.unique(doc[rows] * len(index.keys) + items, return_inverse=True)
+        enough, last, every = np.zeros(len(pairs), bool), -1, set()
+        for n, pair in enumerate(pairs.tolist()):
+            d, item = divmod(pair, len(index.keys))
             if last != d:
-                key, last, enough = w.key[w.of(d)].tolist(), d, {}
-                every = set(key)
-            own, size = index.masks[item], len(index.keys[item])
-            if item not in enough:
-                enough[item] = len(own.keys() & every) + size - len(own) >= lcs * size
-            if not enough[item]:
-                continue
+                every, last = items_words(w.first[d], w.first[d + 1]), d
+            own, size = index.masks[item].keys(), len(index.keys[item])
+            enough[n] = len(own & every) + size - len(own) >= lcs * size
+        some = enough[nth]
+        last, window, key, near_words = -1, -1, [], set()
+        for r, item in zip(rows[some].tolist(), items[some].tolist(), strict=True):
+            d = int(doc[r])
             if window != r:
-                at, window = int(starts[r] - w.first[d]), r
-                near_words = set(key[max(0, at - reach * longest - (reach - 1) * 2 * STEP) : at + reach * (2 * STEP + longest)])
-            if len(own.keys() & near_words) + size - len(own) >= lcs * size:
+                at, window = int(starts[r]), r
+                near_words = items_words(max(w.first[d], at - reach * longest - (reach - 1) * 2 * STEP), min(w.first[d + 1], at + reach * (2 * STEP + longest)))
+            own, size = index.masks[item].keys(), len(index.keys[item])
+            if len(own & near_words) + size - len(own) >= lcs * size:
+                if last != d:
+                    key, last = w.key[w.of(d)].tolist(), d
                 yield r, item, d, key
 
-    alike, column = np.nonzero(near >= cosine)
+    alike, column = np.divmod(np.flatnonzero(near >= cosine), near.shape[1])
     for r, item, d, key in candidates(alike, index.owner[column], 1):
         verify(r, item, d, key)
     # of an item's passage some rare word is in the text, so the windows around each one are all that can match, whatever the cosine
-    for r, item, d, key in candidates(*_rare_hits(index, w, dims, slot // STEP), 2):
+    for r, item, d, key in candidates(*_rare_hits(index, w, dims, np.repeat(np.arange(len(doc)), sizes)), 2):
         size = len(index.keys[item])
         lo, hi = max(int(first[d]), r - (2 * STEP - 1 + size) // STEP), min(int(first[d + 1]) - 1, r + (STEP - 1 + size) // STEP)
         if all((k, item) in done for k in range(lo, hi + 1)):
@@ -419,10 +501,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, rank:
     """
     docs = docs.drop("matches")
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    frequency, n, windows = frequencies(docs)
-    fitted = texts
+    fitted = coded(texts) if sample_documents is not None else scratch.keep(coded(texts), "words")
+    frequency, n, windows = frequencies(fitted)
     if sample_documents is not None:  # only the singular space is fitted on these; frequencies and the search cover all documents
-        fitted = scratch.keep(texts.filter(F.pmod(F.xxhash64("text"), F.lit(_MODULUS)) < math.ceil(_MODULUS * min(1.0, sample_documents / max(1, n)))), "sample")
+        fitted = scratch.keep(coded(texts.filter(F.pmod(F.xxhash64("text"), F.lit(_MODULUS)) < math.ceil(_MODULUS * min(1.0, sample_documents / max(1, n))))), "words")
         windows = frequencies(fitted)[2]
     answers = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), answers.alias("answer"))
@@ -438,9 +520,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, rank:
         given = [k for _, k, _ in first if len(k) >= least_words]
         own = sum(max(1, -(-len(k) // STEP) - 1) for k in given)
     else:
-        given = items.select("text")
+        given = coded(items.select("text"))
         own = frequencies(given, least_words)[2]
     space = singular_space(fitted, windows, given, own, least_words, idf, rank, skip, share, rounds, seed)
+    scratch.forget(fitted)
 
     def searched(rows: DataFrame, coded: list[tuple[int, np.ndarray, np.ndarray]]) -> DataFrame:
         return scan(rows, build(coded, space, idf, frequency, least_words, lcs), cosine, lcs, answer)
