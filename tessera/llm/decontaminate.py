@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.scratch import Scratch
+from tessera.llm.scratch import Scratch, slim
 from tessera.llm.worker import lean, trim
 
 DIMENSIONS, STEP = 1 << 15, 16
@@ -258,6 +258,8 @@ def singular_space(docs: DataFrame, windows: int, items: DataFrame | list[np.nda
             parts = parts.unionByName(items.coalesce(few).mapInArrow(multiply(basis, weight, least), "at long, part binary"))
         for r in parts.groupBy("at").applyInArrow(add, "at long, part binary").collect():  # one matrix in all
             product[r["at"] : r["at"] + _BLOCK] += np.frombuffer(r["part"], np.float32).reshape(-1, width)
+        del parts
+        slim(docs.sparkSession)  # or the matrices of all rounds stay on disk
         if k + 1 < rounds:
             basis = np.linalg.qr(product)[0]
     values, turn = np.linalg.eigh((basis.T @ product).astype(np.float64))
